@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.shipping import map_arrow
+
 #: A word is a run of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -148,7 +150,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     large-star and small-star rounds then halve what remains until nothing changes.  Every round is
     checkpointed.  Without edges the result is empty; null ends and loops are ignored.
     """
-    now = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_forest_edges, "a long, b long")
+    now = map_arrow(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"), _forest_edges, "a long, b long")
     now = checkpoint(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     mark = None
     for _ in range(most_rounds):

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.shipping import map_arrow
 from lectern.llm.common import Forest, checkpoint, components, text_chunks, utf8
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -102,7 +103,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp long: the SimHash of every whole text."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_arrow(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +185,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     marked = checkpoint(fingerprints(docs))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = nodes.select("fp").mapInArrow(_keyed, "key long, fp long, home boolean").repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    keyed = map_arrow(nodes.select("fp"), _keyed, "key long, fp long, home boolean")
+    links = map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _links, "a long, b long")
     found = nodes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = found.groupBy("component").agg(F.min("first").alias("component_id"))
     named = found.select("fp", "component").join(least, "component").select("fp", "component_id")
