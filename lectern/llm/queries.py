@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, mixing, neardup_vectors, packing, simhash, substrings
+from lectern.llm import archive, language, mixing, neardup_vectors, packing, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archived(table(spark, sf_dir, "pages"))
+
+
 def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -45,10 +49,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_warc_archive": op6_warc_archive,
     "op7_embedding_neardup": op7_embedding_neardup,
     "op8_mixing": op8_mixing,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc_archive": """
+        with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+        o as (select h, max(page_id) as owner from p group by h)
+        select p.page_id, octet_length(encode(p.body)) as payload_bytes,
+            array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(p.h, 5 * (k // 4) + 1, 5) as bigint) >> (15 - 5 * (k % 4))) & 31)::int + 1, 1) for k in range(32)], '') as payload_digest,
+            case when p.page_id = o.owner then 'response' else 'revisit' end as record_type,
+            case when p.page_id = o.owner then null else o.owner end as refers_to
+        from p join o on p.h = o.h""",
+}
