@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import archive, language, mixing, neardup_vectors, packing, simhash, substrings
+from lectern.llm import archive, language, mixing, neardup_vectors, packing, simhash, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archived(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_warc_archive": op6_warc_archive,
     "op7_embedding_neardup": op7_embedding_neardup,
     "op8_mixing": op8_mixing,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_url_filter": urls.oracle(),
     "op6_warc_archive": """
         with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
         o as (select h, max(page_id) as owner from p group by h)
