@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,8 @@ from lectern.functions.shipping import map_arrow
 from lectern.llm.common import checkpoint, remove, scratch, text_chunks, utf8, word_bounds, written
 
 WINDOW, GRAM, FANOUT, BATCHES = 50, 10, 2, 2
+#: Words of a posting's context, at most (with a window more it must fit 16 bits).
+LONGEST = 60000
 M = (1 << 64) - 1
 #: Odd multipliers of the polynomial digests.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -122,7 +125,12 @@ def postings_of(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.
         b[k : k + len(q)] = q + np.where(less.any(1), less.argmax(1), span - 1) - span + 1
     a, b = np.maximum(a, first[doc[p]]), np.minimum(np.minimum(b, p), stop[p] - window)
     c = _mixed(d2.of(a, b + window) + ((p - a) * 1024 + (b - a)).astype(np.uint64), 5)
-    return doc[p], g[p], c, a - first[doc[p]], b + window - a
+    # Monotonous text repeats a context at overlapping places: these are one posting, as what holds for one holds for all.
+    d, f, a, b = doc[p], g[p], a - first[doc[p]], b + window - first[doc[p]]
+    new = np.ones(len(p), bool)
+    new[1:] = (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (c[1:] != c[:-1]) | (a[1:] > b[:-1]) | (a[1:] // LONGEST != a[:-1] // LONGEST)
+    i = np.flatnonzero(new)
+    return d[i], f[i], c[i], a[i], b[np.append(i[1:], len(p)) - 1] - a[i]
 
 
 def windows_of(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,47 +206,56 @@ class FingerprintIndex:
         return rows.where("lo < hi").select("f", "lo", F.expr("c0 < c1").alias("several"))
 
 
-def _spans(docs: DataFrame, window: int, batches: int) -> DataFrame:
-    """doc_id, twin, cut: packed (first word, number of words) of the passages to remove of each document."""
-    spark = docs.sparkSession
-    index = FingerprintIndex(spark)
+def _known(docs: DataFrame, window: int, batches: int) -> DataFrame:
+    """doc_id, at, whole, later of contexts that an earlier document has (whole) or whose windows must be verified."""
+    index = FingerprintIndex(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else []
-    all_postings = None
+    log = None
     for lo, hi in zip([None, *(cuts or [])], [*(cuts or []), None], strict=True):
         part = docs if lo is None else docs.where(F.col("doc_id") > lo)
         part = part if hi is None else part.where(F.col("doc_id") <= hi)
         rows = written(postings(part, window), "postings")
         index.add(rows)
         index.compact()
-        all_postings = rows if all_postings is None else all_postings.union(rows)
-    # Contexts of repeated grams, each with the first document that has it.
-    shared = checkpoint(all_postings.join(index.repeated(), "f"))
-    least = shared.groupBy("f", "c").agg(F.min("doc_id").alias("first"))
-    known = checkpoint(shared.join(least, ["f", "c"]).where("doc_id > first or several").select("doc_id", "at", F.expr("doc_id > first").alias("whole"), F.expr("doc_id > lo").alias("later")))
+        log = rows if log is None else log.union(rows)
+    shared = checkpoint(log.join(index.repeated(), "f"))
+    least = checkpoint(shared.groupBy("f", "c").agg(F.min("doc_id").alias("first")))
+    return checkpoint(shared.join(least, ["f", "c"]).where("doc_id > first or several").select("doc_id", "at", F.expr("doc_id > first").alias("whole"), F.expr("doc_id > lo").alias("later")))
+
+
+def _cuts(keyed: DataFrame, window: int, batches: int) -> DataFrame:
+    """doc_id, cuts: packed (first word, number of words, twin) of the passages to remove of each document."""
+    known = _known(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("twin__").alias("twin")), window, batches)
     whole = known.where("whole").select("doc_id", "at")
     edges = known.where("not whole").groupBy("doc_id").agg(F.collect_list(F.expr("at * 2 + int(later)")).alias("edges"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches):
-            lists, twins = b.column("edges"), b.column("twin").to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            at = lists.flatten().to_numpy(zero_copy_only=False)
+            lists, twins = b.column("edges"), b.column("twin__").to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not sizes.any():
+                continue
+            doc, at = np.repeat(np.arange(b.num_rows), sizes), lists.flatten().to_numpy(zero_copy_only=False)
             own = (at >> 1 & 0xFFFF) == twins[doc]
             doc, at = doc[own], at[own]
             a, n = at >> 33, (at >> 17 & 0xFFFF) - window + 1
             more = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             d, s, later = np.repeat(doc, n), np.repeat(a, n) + more, np.repeat(at & 1, n) == 1
             k1, k2 = windows_of(*utf8(b.column("text")), d, s, window)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)[d].astype(np.int64)
+            ids = b.column("key__").to_numpy(zero_copy_only=False)[d].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array((k2 >> np.uint64(33)).astype(np.int32)), pa.array(ids), pa.array((s << 32) + (window << 16) + twins[d]), pa.array(later)], ["k1", "k2", "doc_id", "at", "later"])
 
-    seen = map_arrow(docs.join(edges.hint("shuffle_hash"), "doc_id").select("doc_id", "twin", "text", "edges"), verified, "k1 long, k2 int, doc_id long, at long, later boolean")
-    seen = checkpoint(seen)
+    # Both this join and the last one keep all documents, so that they share one exchange of the texts.
+    seen = map_arrow(_with(keyed, edges).select("key__", "twin__", "text", "edges"), verified, "k1 long, k2 int, doc_id long, at long, later boolean")
     owner = seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
     single = seen.where("later").join(owner, ["k1", "k2"]).where("owner < doc_id").select("doc_id", "at")
     return whole.union(single).groupBy("doc_id").agg(F.collect_list("at").alias("cuts"))
 
 
+def _with(keyed: DataFrame, lists: DataFrame) -> DataFrame:
+    return keyed.join(lists.withColumnRenamed("doc_id", "key__").hint("shuffle_hash"), F.col("doc_id") == F.col("key__"), "left")
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """docs with kept (the remaining words joined by one space), n_words, n_removed.
 
@@ -248,8 +265,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
     any.  An empty table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int").alias("twin"))
-    cuts = checkpoint(_spans(plain, window, batches))
+    keyed = docs.select(*names, F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int").alias("twin__"))
+    both = _with(keyed, _cuts(keyed, window, batches)).withColumnRenamed("cuts", "cuts__").drop("key__")
 
     def kept(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(rows):
@@ -268,7 +285,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
                 texts.append(b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "kept", "n_words", "n_removed"])
 
-    keyed = docs.select(*names, F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int").alias("twin__"))
-    both = keyed.join(cuts.select(F.col("doc_id").alias("key__"), F.col("cuts").alias("cuts__")).hint("shuffle_hash"), F.col("doc_id") == F.col("key__"), "left").drop("key__")
     out = T.StructType([*docs.select(*names).schema.fields, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return map_arrow(both, kept, out)
