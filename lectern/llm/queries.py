@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import archive, language, licenses, mixing, neardup_vectors, packing, simhash, substrings, urls
+from lectern.llm import archive, language, licenses, mixing, neardup_vectors, packing, simhash, spotsigs, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compared(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
 
@@ -56,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_spotsigs": op2_spotsigs,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_url_filter": op5_url_filter,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
+    "op2_spotsigs": spotsigs.oracle(),
     "op5_url_filter": urls.oracle(),
     "op6_warc_archive": """
         with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
