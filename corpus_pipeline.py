@@ -1,18 +1,63 @@
-"""The corpus pipeline: language ID, near-dedup, substring dedup, mixing, packing."""
+"""The corpus pipeline: language ID, near-dedup, substring dedup, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import language, mixing, packing, simhash, substrings
+from lectern.llm.common import written
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without a text or without letters go."""
+    return language.identify(docs).where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; a text that loses nothing stays as it is, one that loses all its words goes."""
+    found = substrings.dedup_substrings(docs).where("n_removed = 0 or n_removed < n_words")
+    found = found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The parts of documents that the mix takes, a row for each epoch that takes any."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of documents in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
 
-STAGES = []
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_neardup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: SQL can't express the stages' models and tokenizer; tests hold the stages against brute force.
+#: SQL can't express the stages' models, hashes and tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows."""
+    """The last stage's rows; each stage but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

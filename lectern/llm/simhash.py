@@ -97,8 +97,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             elif parts:
                 hashes.append(digest(b" ".join(parts), SEED))
             counts.append(len(hashes))
-        found = fingerprint_bits(np.array(hashes, np.uint64), np.array(counts))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = pa.array(fingerprint_bits(np.array(hashes, np.uint64), np.array(counts)).view(np.int64))
+        rest = [c for c in b.schema.names if c not in ("doc_id", "text")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), found, *map(b.column, rest)], ["doc_id", "fp", *rest])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -173,6 +174,16 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield found(*held)
 
 
+def _components(marked: DataFrame) -> DataFrame:
+    """fp, component_id of every fingerprint of marked (doc_id, fp)."""
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    keyed = map_arrow(nodes.select("fp"), _keyed, "key long, fp long, home boolean")
+    links = map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _links, "a long, b long")
+    found = nodes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    least = found.groupBy("component").agg(F.min("first").alias("component_id"))
+    return found.select("fp", "component").join(least, "component").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp long, component_id of every row of docs (doc_id, text).
 
@@ -184,10 +195,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives an empty one.
     """
     marked = checkpoint(fingerprints(docs))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    keyed = map_arrow(nodes.select("fp"), _keyed, "key long, fp long, home boolean")
-    links = map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _links, "a long, b long")
-    found = nodes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = found.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = found.select("fp", "component").join(least, "component").select("fp", "component_id")
+    named = _components(marked)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, more columns) without near-duplicates: of each component the one with the smallest
+    doc_id stays, of several the one with the smallest hash of its text, of identical ones any."""
+    key, twin = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64("text")
+    marked = checkpoint(map_arrow(docs.select("doc_id", "text", twin.alias("twin")), _fingerprints, "doc_id long, fp long, twin long"))
+    named = _components(marked)
+    best = marked.join(named, "fp").groupBy(F.coalesce("component_id", "fp")).agg(F.min(F.struct(key.alias("key__"), F.col("twin").alias("twin__"))).alias("best"))
+    rows = docs.withColumns({"key__": key, "twin__": twin})
+    return rows.join(best.select("best.*").hint("shuffle_hash"), ["key__", "twin__"], "left_semi").dropDuplicates(["key__", "twin__"]).select(*docs.columns)
