@@ -10,11 +10,14 @@ shuffle; blocks of the stream are packed as they come, and what follows a block'
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,55 +27,70 @@ from lectern.llm.common import text_chunks, utf8
 LENGTH, END_ID = 4096, 2
 SENTENCE, TRUNCATED, WINDOW_COST, STRIDE = 4, 24, 16, 64
 #: Tokens of a block, and words whose ids a Python worker keeps.
-BLOCK, CACHED = 1 << 19, 400_000
-#: Marks the borders of words that are encoded together; a text's own is encoded apart.
-MARK = "<|endoftext|>"
+BLOCK, CACHED = 1 << 19, 600_000
+END = END_ID.to_bytes(4, "little")
+#: Characters that normalisation leaves alone but for their case, one for one.
+SIMPLE = regex.compile("[\\x21-\\x7e\\u00a1-\\u012f\\u0131-\\u024f]+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Kept(dict):
+    """What a function gave for each key; emptied when full."""
+
+    def __init__(self, f: Callable, most: int) -> None:
+        self.f, self.most = f, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        found = self[key] = self.f(key)
+        return found
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose pieces never cross white space; words are encoded once and kept."""
+    """Ids of texts by a tokenizer whose pieces never cross white space; words are encoded once and kept.
+
+    A word of plain Latin characters is lower-cased and split by the file's own pattern here, and its
+    parts go to the file's model; any other word goes through the whole tokenizer, which is slower.
+    """
 
-    def __init__(self, json: str) -> None:
+    def __init__(self, json_text: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_str(json)
+        self.encoder = Tokenizer.from_str(json_text)
         vocabulary = self.encoder.get_vocab()
-        self.mark = vocabulary[MARK]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.removesuffix("</w>").rstrip("\"')]»”’").endswith((".", "!", "?"))
-        self.kept: dict[bytes, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.kept) + len(new) > CACHED:
-            self.kept.clear()
-        plain = [w for w in new if b"<|" not in w]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = self._encode(MARK.join(w.decode(errors="replace") for w in part))
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            raw = ids.tobytes()
-            for w, s, e in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
-                self.kept[w] = raw[4 * s : 4 * e]
-        for w in new:
-            if b"<|" in w:
-                self.kept[w] = self._encode(w.decode(errors="replace")).tobytes()
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, END_ID last."""
-        parts = [t.split() for t in texts]
-        new = set().union(*parts).difference(self.kept)
-        if new:
-            known = len(self.kept)
-            self._learn(sorted(new))
-            if len(self.kept) < known:
-                self._learn(sorted(set().union(*parts).difference(self.kept)))
-        get, end = self.kept.__getitem__, END_ID.to_bytes(4, "little")
-        return [b"".join([*map(get, p), end]) for p in parts]
+        told = json.loads(json_text)
+        steps = [x.get("type") for x in (told["normalizer"] or {}).get("normalizers", [])]
+        split = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.pattern = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"]:
+            self.pattern = regex.compile(split[0]["pattern"]["Regex"])
+        # A byte-level model names each byte by a printable character: itself, or those from 256 on in order.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.tokenize = self.encoder.model.tokenize
+        self.parts = Kept(self._part, CACHED)
+        self.words = Kept(self._word, CACHED)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(part)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode(errors="replace")
+        if self.pattern and text.isascii() and text.isalpha():
+            return self.parts[text.lower()]
+        if self.pattern and SIMPLE.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, self.pattern.findall(text.lower())))
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def ids(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids of a text, END_ID last."""
+        return b"".join(map(self.words.__getitem__, text.split())) + END
 
 
 def cuts_of(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[list[int], list[int]]:
@@ -199,12 +217,14 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
     """
     spark: SparkSession = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        json = spark.sparkContext.broadcast(f.read())
+        file = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = json.value
-        tokenizer = _tokenizers.setdefault(zlib.crc32(text.encode()), None) or WordTokenizer(text)
-        _tokenizers[zlib.crc32(text.encode())] = tokenizer
+        told = file.value
+        name = zlib.crc32(told.encode())
+        if name not in _tokenizers:
+            _tokenizers[name] = WordTokenizer(told)
+        tokenizer = _tokenizers[name]
         packer = Packer(tokenizer.ends, TaskContext.get().partitionId() << 40, length)
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
@@ -214,9 +234,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
             data, at = utf8(b.column("text"))
             raw = data.tobytes()
             found = []
-            texts = [raw[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokenizer.ids(texts), strict=True):
-                found += packer.add(doc_id, ids)
+            for doc_id, s, e in zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                found += packer.add(doc_id, tokenizer.ids(raw[s:e]))
             if found:
                 yield rows(found)
         yield rows(list(packer.pack(True)))
