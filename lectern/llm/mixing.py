@@ -109,7 +109,7 @@ def _taken(marked: DataFrame, planned: DataFrame, block: int) -> DataFrame:
     names = planned.select("sid", F.col("source").alias("name__"))
     rows = marked.where("size > 0").join(names, F.col("source").eqNullSafe(F.col("name__"))).select("rid", "doc_id", "sid", "size")
     spans = numbered(rows).withColumn("index", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
-    met = spans.join(slots(planned, block), ["sid", "index"])
+    met = spans.join(slots(planned, block).hint("merge"), ["sid", "index"])
     low = F.expr(f"greatest(index * {block}, begin) - begin")
     high = F.expr(f"least(index * {block} + words, begin + size) - begin")
     return met.select("rid", "epoch", low.alias("low"), high.alias("high")).where("low < high")

@@ -145,7 +145,7 @@ def postings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """f, c, doc_id, at: the chosen grams of every document with a doc_id; at packs first word, number of words, twin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(batches):
+        for b in text_chunks(batches, most=1 << 20):
             doc, f, c, a, n = postings_of(*utf8(b.column("text")), window)
             twin = b.column("twin").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
@@ -230,7 +230,7 @@ def _cuts(keyed: DataFrame, window: int, batches: int) -> DataFrame:
     edges = known.where("not whole").groupBy("doc_id").agg(F.collect_list(F.expr("at * 2 + int(later)")).alias("edges"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(batches):
+        for b in text_chunks(batches, most=1 << 20):
             lists, twins = b.column("edges"), b.column("twin__").to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             if not sizes.any():
@@ -269,7 +269,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
     both = _with(keyed, _cuts(keyed, window, batches)).withColumnRenamed("cuts", "cuts__").drop("key__")
 
     def kept(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(rows):
+        for b in text_chunks(rows, most=1 << 20):
             texts, total, gone = [], [], []
             for text, cut, twin in zip(b.column("text").to_pylist(), b.column("cuts__").to_pylist(), b.column("twin__").to_pylist(), strict=True):
                 parts = (text or "").encode().split()
