@@ -2,9 +2,9 @@
 
 The documents of a scan partition, in its order, are one stream.  Cuts may stand at document ends (free), sentence
 ends (`SENTENCE`) and, inside sentences longer than `STRIDE` tokens, every `STRIDE` tokens (`TRUNCATED`).  The cost
-of a window is its padding plus `WINDOW_COST` plus the penalty of the cut that ends it; a window whose length is a power of
-two isn't padded.  The best way to reach a cut from those at most one window before it is the head of a
-monotone queue, so a cut costs constant time.  A partition needs no other's rows, hence no
+of a window is its padding plus `WINDOW_COST` plus the penalty of the cut that ends it.  The best way to reach a cut from those at most one window before it is the head of a
+monotone queue, so a cut costs constant time.  A window whose length is a power of two isn't padded, which what is left at a
+partition's end makes use of.  A partition needs no other's rows, hence no
 shuffle; blocks of the stream are packed as they come, and what follows a block's last good cut waits for the next.
 """
 
@@ -25,7 +25,7 @@ from lectern.functions.shipping import map_arrow
 from lectern.llm.common import text_chunks, utf8
 
 LENGTH, END_ID = 4096, 2
-SENTENCE, TRUNCATED, WINDOW_COST, STRIDE = 4, 24, 16, 64
+SENTENCE, TRUNCATED, WINDOW_COST, STRIDE, CLOSE = 4, 24, 16, 64, 16
 #: Tokens of a block, and words whose ids a Python worker keeps.
 BLOCK, CACHED = 1 << 19, 600_000
 END = END_ID.to_bytes(4, "little")
@@ -94,8 +94,10 @@ class WordTokenizer:
 
 
 def cuts_of(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[list[int], list[int]]:
-    """Positions where windows may end, and their penalties; the first is 0."""
+    """Positions where windows may end, and their penalties; the first is 0.  Of sentence ends within `CLOSE` tokens one is enough."""
     at = np.flatnonzero(sentence_ends[ids]) + 1
+    if len(at):
+        at = at[np.concatenate([[True], at[1:] // CLOSE != at[:-1] // CLOSE])]
     at = np.union1d(at, doc_ends)
     at = np.concatenate([[0], at[at > 0]])
     gaps = np.diff(at)
@@ -113,8 +115,6 @@ def best_cuts(at: list[int], penalty: list[int], length: int, final: bool) -> li
     """The cheapest chain of cuts from 0: to the last position if final, else to the best one in the last window."""
     n = len(at)
     cost, back = [0] * n, [0] * n
-    place = {p: i for i, p in enumerate(at)}
-    halves = [length >> 1, length >> 2]
     queue, keys, head = [0], [0], 0
     for i in range(1, n):
         p = at[i]
@@ -122,10 +122,6 @@ def best_cuts(at: list[int], penalty: list[int], length: int, final: bool) -> li
             head += 1
         j = queue[head]
         c = keys[head] + length - p
-        for h in halves:
-            k = place.get(p - h)
-            if k is not None and cost[k] < c:
-                j, c = k, cost[k]
         c += WINDOW_COST + penalty[i]
         cost[i], back[i] = c, j
         key = c + p
@@ -230,7 +226,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
         def rows(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 7)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for b in text_chunks(batches, most=1 << 20):
+        for b in text_chunks(batches):
             data, at = utf8(b.column("text"))
             raw = data.tobytes()
             found = []
