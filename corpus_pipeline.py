@@ -14,6 +14,8 @@ from lectern.llm import language, mixing, packing, simhash, substrings
 from lectern.llm.common import written
 
 TOKENIZER = "word_bpe_49k.json"
+#: Words that a Python worker keeps in the packing stage: fewer than alone, as executors' heaps are full by then.
+CACHED = 50_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of documents in sequences of 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), cached=CACHED)
 
 
 STAGES = [
