@@ -48,3 +48,21 @@ def entitled_semi(rows: DataFrame, key: str, tags: list[str]) -> DataFrame:
 def source_status(acl_tags: Column, user_tags: Column) -> Column:
     """The source viewer's answer: 404 for an unknown row, 403 without a common tag, else 200 (quarantined rows too)."""
     return F.when(acl_tags.isNull(), 404).when(F.arrays_overlap(acl_tags, user_tags), 200).otherwise(403)
+
+
+def odata_filter(tags: list[str]) -> str:
+    """The same predicate for a search service that takes OData; a tag with a comma can't be said."""
+    if any("," in t for t in tags):
+        raise ValueError("a tag can't have a comma")
+    if not tags:
+        return "false"
+    listed = ",".join(t.replace("'", "''") for t in tags)
+    return f"quarantined eq false and acl_tags/any(t: search.in(t, '{listed}', ','))"
+
+
+def identity(user: Column, tags: Column, address: Column, trusted: Column) -> Column:
+    """struct(id, tags) of a request: a trusted proxy's user and tags, the owner on the machine itself, else an anonymous public user."""
+    local = address.isin("127.0.0.1", "::1", "localhost") | F.startswith(address, F.lit("127."))
+    public = F.array(*map(F.lit, PUBLIC))
+    named = trusted & (F.coalesce(user, F.lit("")) != "")
+    return F.when(named, F.struct(user.alias("id"), normalised_tags(clean_tags(F.coalesce(tags, public))).alias("tags"))).when(local, F.struct(F.lit("owner").alias("id"), normalised_tags(F.coalesce(tags, public)).alias("tags"))).otherwise(F.struct(F.lit("anonymous").alias("id"), public.alias("tags")))

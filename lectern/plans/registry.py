@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from lectern.plans import ingest, observability, relational, retrieval, safety  # noqa: E402, F401
+from lectern.plans import answers, ingest, observability, relational, retrieval, safety  # noqa: E402, F401

@@ -190,3 +190,71 @@ def test_stream(spark, tmp_path):
         ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert store.committed(spark, str(tmp_path / "out"), "documents").count() == 2
     assert store.committed(spark, str(tmp_path / "out"), "chunks").count() == 2
+
+
+@pytest.mark.parametrize(("word", "root"), [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("conflated", "conflat"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("generalizations", "gener"), ("adjustment", "adjust"), ("controlling", "control"), ("rate", "rate"), ("as", "as"), ("Ünï", "Ünï")])
+def test_stems(word, root):
+    from lectern.functions import stem
+
+    assert stem.stem(word) == root
+    assert stem.analysed("Crème, brûlées!") == ["creme", "brule"]
+
+
+def test_schema_problems():
+    from lectern.functions import jsons
+
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": ["integer", "null"], "minimum": 1}, "b": {"enum": ["x"]}, "c": {"type": "array", "items": {"type": "string"}}}, "additionalProperties": False}
+    assert jsons.problems({"a": 1, "b": "x", "c": ["y"]}, schema) == []
+    assert len(jsons.problems({"a": 0, "b": "z", "c": [1], "d": 1}, schema)) == 4
+    assert jsons.problems({"a": True}, schema) and jsons.problems([], schema) and jsons.problems({}, schema)
+
+
+def test_agent_keeps_to_policy():
+    from lectern.operators import answer
+
+    turns = iter([{"calls": [("add", {"a": 1, "b": 2}), ("drop", {}), ("send", {})]}, {"text": "done"}])
+    told = answer.agent("q", lambda talk: next(turns), {"add": lambda a, b: str(a + b), "send": lambda: "sent"}, lambda name, _: {"add": "allowed", "send": "approval"}.get(name, "off the list"))
+    assert told["text"] == "done" and told["refused"] == ["drop"]
+    assert [s[2] for s in told["steps"]] == ["allowed", "off the list", "approval"]
+    spent = answer.agent("q", lambda talk: {"calls": [("add", {"a": 1, "b": 1})] * 4}, {"add": lambda a, b: "2"}, lambda *_: "allowed", most_turns=3)
+    assert [s[2] for s in spent["steps"]].count("allowed") == 6
+
+
+def test_answers_cite_what_there_is(spark):
+    from lectern.operators import answer
+
+    asked = spark.createDataFrame([(1, "red house"), (2, "blue"), (3, "x")], "query_id long, text string")
+    hits = spark.createDataFrame([(1, 1, "A tree. The red house stands."), (1, 2, "no"), (2, 1, "blue")], "query_id long, rank long, text string")
+    refused = spark.createDataFrame([(1, False), (2, True), (3, False)], "query_id long, refused boolean")
+    found = {r.query_id: (r.answer, r.refused, r.citations) for r in answer.answered(asked, hits, refused).collect()}
+    assert found[1] == ("The red house stands. [1]", False, [1])
+    assert found[2][1:] == (True, []) and found[3][1:] == (True, [])
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    from lectern.operators import evals
+    from lectern.sources import reports
+
+    golden = tmp_path / "g.json"
+    golden.write_text(json.dumps({"items": [{"id": "a", "question": "q", "user_tags": "public", "must_include": None}]}))
+    rows = reports.load_golden(spark, str(golden))
+    assert rows.first().user_tags == ["public"]
+    reports.save_golden(rows, str(golden))
+    assert reports.load_golden(spark, str(golden)).collect() == rows.collect()
+    summary = spark.createDataFrame([(0.86, None, 1.0, 1.0)], "hit_at_3 double, groundedness double, refusal_correct double, must_not_include_pass double")
+    fine = evals.compared(summary, {"hit_at_3": 0.9, "refusal_correct": 1.0, "must_not_include_pass": 1.0})
+    assert {r.metric: r.status for r in fine.collect()} == {"hit_at_3": "passed", "groundedness": "skipped", "refusal_correct": "passed", "must_not_include_pass": "passed"}
+    worse = evals.compared(summary.withColumn("hit_at_3", F.lit(0.5)), {"hit_at_3": 0.9})
+    assert worse.where("metric = 'hit_at_3'").first().delta == pytest.approx(-0.4)
+    first, second = (reports.write_report(summary, g, str(tmp_path / "r"), "run") for g in (fine, worse))
+    assert first != second and json.loads(first.read_text())["passed"] and not json.loads(second.read_text())["passed"]
+    assert reports.promote(first, tmp_path / "base.json")["hit_at_3"] == 0.86
+
+
+def test_odata():
+    assert acl.odata_filter(["a", "o'b"]) == "quarantined eq false and acl_tags/any(t: search.in(t, 'a,o''b', ','))"
+    assert acl.odata_filter([]) == "false"
+    with pytest.raises(ValueError, match="comma"):
+        acl.odata_filter(["a,b"])
