@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import remove, scratch
+from lectern.llm.common import checkpoint, remove, scratch
 
 #: Payloads shorter than this many bytes are responses each.
 LEAST_BYTES = 0
@@ -45,10 +45,11 @@ def store(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     A null html is an empty payload.  Rows that repeat page_id and payload are the same capture: all are responses.  A
     null page_id can't be referred to: it is a response unless an equal payload has one.
     """
-    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    ids = rows.withColumn("bytes", F.octet_length("payload")).select("page_id", "url", "digest", F.col("bytes").cast("long").alias("bytes"), base32(F.sha1("payload")).alias("sha1"))
-    owners = ids.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("owner"))
+    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    # Every payload is hashed once; from here on only ids and digests move, until the owners' payloads are written.
+    ids = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), base32(F.sha1("payload")).alias("sha1"))
+    ids = checkpoint(ids)
+    owners = checkpoint(ids.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("owner")))
     joined = ids.join(owners, F.col("digest") == F.col("d"))
     again = (F.col("bytes") >= least_bytes) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     plain = _header("response", F.col("url"), F.col("page_id"), F.col("sha1"), F.col("bytes"))
@@ -56,10 +57,13 @@ def store(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     records = joined.select("page_id", "digest", "bytes", F.encode(F.when(again, revisit).otherwise(plain), "UTF-8").alias("header"))
     records.write.parquet(f"{path}/records")
     # One row for each digest keeps its payload: the owner's, or any if no row has a page_id.
-    chosen = owners.select("d", "owner").withColumnsRenamed({"d": "digest", "owner": "page_id"})
-    named = rows.where("page_id is not null").select("page_id", "digest", "payload").join(chosen.where("page_id is not null").hint("shuffle_hash"), ["page_id", "digest"], "left_semi").select("digest", "payload")
-    unnamed = rows.where("page_id is null").join(chosen.where("page_id is null"), "digest", "left_semi").select("digest", "payload")
-    named.union(unnamed).write.parquet(f"{path}/payloads")
+    digest = F.sha2("payload", 256)
+    chosen = owners.where("owner is not null")
+    named = rows.where("page_id is not null").join(chosen.hint("shuffle_hash"), F.col("page_id") == F.col("owner")).where(digest == F.col("d")).select(F.col("d").alias("digest"), "payload")
+    lost = owners.where("owner is null").select(F.col("d").alias("digest"))
+    if not lost.isEmpty():
+        named = named.union(rows.where("page_id is null").withColumn("digest", digest).join(lost, "digest", "left_semi").select("digest", "payload"))
+    named.write.parquet(f"{path}/payloads")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:

@@ -60,17 +60,16 @@ def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> Data
     edges (kind, src, dst, weight) have weights that add up to 1 for each source.  What a host without edges
     holds goes back to the seeds, as does 1 - DAMPING of the rest.
     """
-    seeds = checkpoint(seeds)
-    edges = checkpoint(edges)
-    fan = edges.select("kind", F.col("src").alias("host")).distinct()
+    seeds, edges = checkpoint(seeds), checkpoint(edges)
+    if edges.isEmpty():
+        return seeds
     state = seeds
-    for k in range(rounds):
+    for _ in range(rounds):
         moved = state.join(edges.withColumnRenamed("src", "host"), ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("score") * F.col("weight"))).alias("score"))
-        spread = state.join(fan, ["kind", "host"], "left_semi").groupBy("kind").agg((DAMPING * F.sum("score")).alias("kept"))
+        # A host's weights add up to 1, so what all hosts with edges have passed on is what has moved.
+        spread = moved.groupBy("kind").agg(F.sum("score").alias("kept"))
         back = seeds.join(spread, "kind", "left").select("kind", "host", (F.col("score") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("score"))
-        state = moved.union(back).groupBy("kind", "host").agg(F.round(F.sum("score"), DIGITS).alias("score"))
-        if k % 4 == 3:
-            state = checkpoint(state)
+        state = checkpoint(moved.union(back).groupBy("kind", "host").agg(F.round(F.sum("score"), DIGITS).alias("score")))
     return state
 
 
