@@ -10,11 +10,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
+#: Bytes of an Arrow batch, unless the session sets a lower bound: texts are long, and every task holds two batches or three.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once for each application."""
+    """Adds the package to the application's Python files, once, and bounds the session's Arrow batches."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _sent:
         return
     top = Path(__file__).resolve().parent.parent
