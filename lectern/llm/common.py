@@ -25,8 +25,10 @@ CHUNK_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lectern-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
@@ -143,14 +145,16 @@ def _forest_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, forests: bool = False, most_rounds: int = 60) -> DataFrame:
     """node, component of every node of edges (a, b long): component is the smallest node reachable.
 
     Each task first keeps a spanning forest of its edges, which leaves the components as they are;
     large-star and small-star rounds then halve what remains until nothing changes.  Every round is
-    checkpointed.  Without edges the result is empty; null ends and loops are ignored.
+    checkpointed.  Without edges the result is empty; null ends and loops are ignored.  forests: each
+    task's edges are a forest already, as they come from a Python step, which this one then doesn't follow.
     """
-    now = map_arrow(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"), _forest_edges, "a long, b long")
+    now = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    now = now if forests else map_arrow(now, _forest_edges, "a long, b long")
     now = checkpoint(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     mark = None
     for _ in range(most_rounds):

@@ -179,7 +179,7 @@ def _components(marked: DataFrame) -> DataFrame:
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     keyed = map_arrow(nodes.select("fp"), _keyed, "key long, fp long, home boolean")
     links = map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _links, "a long, b long")
-    found = nodes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    found = nodes.join(components(links, forests=True).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = found.groupBy("component").agg(F.min("first").alias("component_id"))
     return found.select("fp", "component").join(least, "component").select("fp", "component_id")
 

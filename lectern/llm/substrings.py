@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.shipping import map_arrow
-from lectern.llm.common import checkpoint, remove, scratch, text_chunks, utf8, word_bounds, written
+from lectern.llm.common import checkpoint, remove, scratch, text_chunks, utf8, word_bounds
 
 WINDOW, GRAM, FANOUT, BATCHES = 50, 10, 2, 2
 #: Words of a posting's context, at most (with a window more it must fit 16 bits).
@@ -210,16 +210,21 @@ def _known(docs: DataFrame, window: int, batches: int) -> DataFrame:
     """doc_id, at, whole, later of contexts that an earlier document has (whole) or whose windows must be verified."""
     index = FingerprintIndex(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else []
-    log = None
+    log, logs = None, []
     for lo, hi in zip([None, *(cuts or [])], [*(cuts or []), None], strict=True):
         part = docs if lo is None else docs.where(F.col("doc_id") > lo)
         part = part if hi is None else part.where(F.col("doc_id") <= hi)
-        rows = written(postings(part, window), "postings")
+        path = scratch(docs.sparkSession, "postings")
+        postings(part, window).write.parquet(path)
+        rows = docs.sparkSession.read.schema("f long, c long, doc_id long, at long").parquet(path)
+        logs.append(path)
         index.add(rows)
         index.compact()
         log = rows if log is None else log.union(rows)
     shared = checkpoint(log.join(index.repeated(), "f"))
     least = checkpoint(shared.groupBy("f", "c").agg(F.min("doc_id").alias("first")))
+    for path in [*logs, *index.runs]:
+        remove(docs.sparkSession, path)
     return checkpoint(shared.join(least, ["f", "c"]).where("doc_id > first or several").select("doc_id", "at", F.expr("doc_id > first").alias("whole"), F.expr("doc_id > lo").alias("later")))
 
 
