@@ -17,7 +17,8 @@ BATCH_BYTES = 4 << 20
 def ship(spark: SparkSession) -> None:
     """Adds the package to the application's Python files, once, and bounds the session's Arrow batches."""
     sc = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > BATCH_BYTES:
+    told = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(told) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _sent:
         return
