@@ -247,8 +247,16 @@ def _cuts(keyed: DataFrame, window: int, batches: int) -> DataFrame:
             more = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             d, s, later = np.repeat(doc, n), np.repeat(a, n) + more, np.repeat(at & 1, n) == 1
             k1, k2 = windows_of(*utf8(b.column("text")), d, s, window)
-            ids = b.column("key__").to_numpy(zero_copy_only=False)[d].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array((k2 >> np.uint64(33)).astype(np.int32)), pa.array(ids), pa.array((s << 32) + (window << 16) + twins[d]), pa.array(later)], ["k1", "k2", "doc_id", "at", "later"])
+            k2 >>= np.uint64(33)
+            # Equal windows of a document that touch are one row: monotonous text has many.
+            order = np.lexsort((s, later, k2, k1, d))
+            d, s, later, k1, k2 = (x[order] for x in (d, s, later, k1, k2))
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (later[1:] != later[:-1]) | (s[1:] - s[:-1] > window) | (s[1:] // LONGEST != s[:-1] // LONGEST)
+            i = np.flatnonzero(new)
+            n = s[np.append(i[1:], len(s)) - 1] + window - s[i]
+            ids = b.column("key__").to_numpy(zero_copy_only=False)[d[i]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k1[i].view(np.int64)), pa.array(k2[i].astype(np.int32)), pa.array(ids), pa.array((s[i] << 32) + (n << 16) + twins[d[i]]), pa.array(later[i])], ["k1", "k2", "doc_id", "at", "later"])
 
     # Both this join and the last one keep all documents, so that they share one exchange of the texts.
     seen = map_arrow(_with(keyed, edges).select("key__", "twin__", "text", "edges"), verified, "k1 long, k2 int, doc_id long, at long, later boolean")
