@@ -14,6 +14,8 @@ from lectern.functions.shipping import map_arrow
 from lectern.operators.acl import may_see
 
 K1, B, FUSION, DIGITS, MIN_RELEVANCE, CANDIDATES, FINAL = 1.2, 0.75, 60, 6, 0.15, 20, 6
+#: Distinct terms of a batch of questions that are sent with the plan, at most.
+MOST_TERMS = 50_000
 
 
 def postings(chunks: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
@@ -39,14 +41,17 @@ def ranked(scores: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, key: str = "doc_id") -> DataFrame:
     """query_id, key, score, rank: the k best entitled chunks for each question (query_id, text, user_tags).
 
-    Counts span all chunks, visible or not; who may see a chunk is decided before the cut.  Only the questions' terms leave the
-    scan: a chunk's tokens are filtered against them before they are counted.
+    Counts span all chunks, visible or not; who may see a chunk is decided before the cut.  Of a chunk only
+    its length and those of its tokens that a question has (all, if the batch has more than MOST_TERMS distinct
+    ones) leave the scan.
     """
     asked = questions.select("query_id", "user_tags", F.explode(text.question_tokens(F.col("text"))).alias("term")).groupBy("query_id", "user_tags", "term").agg(F.count("*").alias("reps"))
-    terms = asked.select("term").distinct()
+    terms = [r[0] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
     cut = chunks.select(key, "acl_tags", "quarantined", text.tokens(F.col("text")).alias("tokens"))
-    held = cut.select(key, F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", key).agg(F.count("*").alias("tf"))
-    sized = cut.select(F.col(key), "acl_tags", "quarantined", F.size("tokens").alias("dl"))
+    known = F.col("tokens") if len(terms) > MOST_TERMS else F.filter("tokens", lambda t: t.isin(terms) if terms else F.lit(False))
+    base = cut.select(key, "acl_tags", "quarantined", F.size("tokens").alias("dl"), known.alias("known"))
+    held = base.select(key, F.explode("known").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    sized = base.select(key, "acl_tags", "quarantined", "dl")
     total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     hits = held.join(df, "term").join(asked, "term").join(sized, key).where(may_see(F.col("acl_tags"), F.col("user_tags"), F.col("quarantined"))).crossJoin(F.broadcast(total))
