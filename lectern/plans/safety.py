@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import pii, screen
 from lectern.plans.registry import query
-from lectern.plans.tables import PLANTED, planted, table
+from lectern.plans.tables import PLANTED, PLANTED_WHOLE, planted, planted_whole, table
 
 
 def _signal_sql(column: str) -> str:
@@ -31,9 +31,23 @@ def inj_noisy_or(spark: SparkSession, d: str) -> DataFrame:
     return screen.scored(planted(spark, d), "body").select("doc_id", "score", "flagged")
 
 
+#: The same signals over whole documents.
+SCORES_WHOLE = SCORES.replace(PLANTED, PLANTED_WHOLE)
+
+
+@query(f"with {SCORES_WHOLE} select doc_id, matches from sc")
+def inj_pattern_hits_whole(spark: SparkSession, d: str) -> DataFrame:
+    return screen.scored(planted_whole(spark, d), "body").select("doc_id", "matches")
+
+
+@query(f"with {SCORES_WHOLE} select doc_id, score, score >= 0.5 as flagged from sc")
+def inj_noisy_or_whole(spark: SparkSession, d: str) -> DataFrame:
+    return screen.scored(planted_whole(spark, d), "body").select("doc_id", "score", "flagged")
+
+
 @query()
 def inj_screen_full(spark: SparkSession, d: str) -> DataFrame:
-    return screen.screened(planted(spark, d), "body").select("doc_id", "matches", "score", "flagged")
+    return screen.screened(planted_whole(spark, d), "body").select("doc_id", "matches", "score", "flagged")
 
 
 @query("""with c as (select conv_id, turn, turn % 7 = 0 as alone, coalesce(length(text) + length(lead(text) over (partition by conv_id order by turn)) > 300, false) as joint from conversations),
@@ -59,6 +73,12 @@ def pii_redact_email(spark: SparkSession, d: str) -> DataFrame:
     return planted(spark, d).where("doc_id % 13 = 4").select("doc_id", pii.redacted_kind(F.col("body"), "email").alias("redacted"))
 
 
+@query()
+def pii_redact_email_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, whole."""
+    return planted_whole(spark, d).select("doc_id", pii.redacted_kind(F.col("body"), "email").alias("redacted"))
+
+
 def _digits_sql(weights: tuple[int, ...], n: str = "n") -> str:
     return " + ".join(f"substr({n}, {i + 1}, 1)::int * {w}" for i, w in enumerate(weights))
 
@@ -97,6 +117,11 @@ def pii_phone_flag(spark: SparkSession, d: str) -> DataFrame:
     return planted(spark, d).select("doc_id", pii.has(F.col("body"), "phone_au").alias("has_phone"))
 
 
+@query()
+def pii_phone_flag_whole(spark: SparkSession, d: str) -> DataFrame:
+    return planted_whole(spark, d).select("doc_id", pii.has(F.col("body"), "phone_au").alias("has_phone"))
+
+
 @query()
 def pii_detect(spark: SparkSession, d: str) -> DataFrame:
-    return pii.detected(planted(spark, d), "body").select("doc_id", "findings", "redacted")
+    return pii.detected(planted_whole(spark, d), "body").select("doc_id", "findings", "redacted")

@@ -5,7 +5,7 @@ Each view has a DataFrame form and the same as SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import acl
@@ -98,10 +98,20 @@ PLANTED_TEXT = (
 )
 
 
+def _snippet() -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in PLANTED_TEXT for x in pair])[(F.col("doc_id") % 13).cast("int")], F.lit(""))
+
+
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, body: the first 200 characters of a document followed by a snippet."""
-    text = F.coalesce(F.create_map(*[F.lit(x) for pair in PLANTED_TEXT for x in pair])[(F.col("doc_id") % 13).cast("int")], F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" "), text).alias("body"))
+    """doc_id, body: the first 200 characters of a document followed by a snippet, as `PLANTED` has them."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" "), _snippet()).alias("body"))
+
+
+def planted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, body: the whole of a document followed by a snippet."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), _snippet()).alias("body"))
 
 
 PLANTED = "planted as (select doc_id, substr(text, 1, 200) || ' ' || (case doc_id % 13 " + " ".join(f"when {k} then '{t}'" for k, t in PLANTED_TEXT) + " else '' end) as body from documents)"
+
+PLANTED_WHOLE = "planted as (select doc_id, text || ' ' || (case doc_id % 13 " + " ".join(f"when {k} then '{t}'" for k, t in PLANTED_TEXT) + " else '' end) as body from documents)"
