@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.shipping import map_arrow
+
 GENESIS = "0" * 64
 SCHEMA = "seq long, kind string, request_id string, payload string, prev_hash string, hash string"
 
@@ -44,9 +48,27 @@ def append(spark: SparkSession, entries: list[tuple[str, str | None, dict | str]
 
 
 def chained(rows: DataFrame) -> DataFrame:
-    """rows (seq, kind, request_id, payload) as a ledger: one ordered pass, as every hash needs the one before it."""
-    kept = sorted(rows.select("seq", "kind", "request_id", "payload").collect())
-    return append(rows.sparkSession, [tuple(r[1:]) for r in kept], (kept[0][0] - 1 if kept else 0, GENESIS))
+    """rows (seq, kind, request_id, payload) as a ledger: one ordered pass in one task, as every hash needs the one before it.
+
+    Rows are numbered from the first seq on; they stream through the task and none reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, prev = None, GENESIS
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                if not r["kind"]:
+                    raise ValueError("a ledger row needs a kind")
+                seq = r["seq"] if seq is None else seq + 1
+                found = row_hash(prev, r["kind"], r["request_id"], r["payload"])
+                out.append((seq, r["kind"], r["request_id"], r["payload"], prev, found))
+                prev = found
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k else pa.int64()) for k, c in enumerate(columns)], ["seq", "kind", "request_id", "payload", "prev_hash", "hash"])
+
+    columns = ["seq", "kind", "request_id", "payload"]
+    return map_arrow(rows.select(*columns).repartition(1).sortWithinPartitions(*columns), run, SCHEMA)
 
 
 def checked(ledger: DataFrame) -> DataFrame:

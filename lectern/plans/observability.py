@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import ledger, observe, policy
 from lectern.plans.registry import query
-from lectern.plans.tables import LEDGER, REQLOG, ledger_rows, reqlog, table
+from lectern.plans.tables import LEDGER, LEDGER_ALL, REQLOG, ledger_all, ledger_rows, reqlog, table
 
 DAILY = f"""{REQLOG}, da as (select strftime(ts, '%Y-%m-%d') as day, count(*) as requests, count(*) filter (refused) as refused, round(avg(latency_ms), 9) as avg_latency_ms, round(avg(k / 100), 9) as groundedness, round(avg(1 - k / 200), 9) as relevance from reqlog group by 1)"""
 
@@ -72,7 +72,7 @@ def ledger_verify(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select false as ok, 57::bigint as checked, 57::bigint as first_bad_seq, 'hash' as reason")
 def ledger_tamper(spark: SparkSession, d: str) -> DataFrame:
-    rows = ledger.chained(ledger_rows(spark, d))
+    rows = ledger.chained(ledger_all(spark, d))
     return ledger.verify(rows.withColumn("payload", F.when(F.col("seq") == 57, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))))
 
 
@@ -82,6 +82,21 @@ def ledger_head(spark: SparkSession, d: str) -> DataFrame:
     return ledger.head(rows).select("seq").crossJoin(F.broadcast(rows.agg(F.count("*").alias("rows"))))
 
 
+@query(f"with {LEDGER_ALL} select seq, sha256(json_array(repeat('0', 64), kind, request_id, payload)::varchar) as hash from ledger_rows")
+def ledger_hash_all(spark: SparkSession, d: str) -> DataFrame:
+    return ledger_all(spark, d).select("seq", ledger.hash_column(F.lit(ledger.GENESIS), F.col("kind"), F.col("request_id"), F.col("payload")).alias("hash"))
+
+
+@query(f"with {LEDGER_ALL} select true as ok, count(*) as checked, null::bigint as first_bad_seq, null::varchar as reason from ledger_rows")
+def ledger_verify_all(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.verify(ledger.chained(ledger_all(spark, d)))
+
+
+@query(f"with {LEDGER_ALL} select max(seq) as seq, count(*) as rows from ledger_rows")
+def ledger_head_all(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.chained(ledger_all(spark, d)).agg(F.max("seq").alias("seq"), F.count("*").alias("rows"))
+
+
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     url = F.concat(F.when(F.col("event_id") % 5 == 0, "ftp://").otherwise("https://"), F.when(F.col("event_id") % 3 == 0, "Intranet.example").otherwise("other.example"), F.lit("/x"))
     return table(spark, d, "events").select("event_id", F.col("user_id").alias("request_id"), F.col("event_type").alias("tool"), url.alias("url"))

@@ -81,3 +81,9 @@ def sql_admission(spark: SparkSession, d: str) -> DataFrame:
 def tools_calc(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").where("l_orderkey % 50 = 1").select("l_orderkey", "l_linenumber", F.concat(F.col("l_orderkey").cast("string"), F.lit(" * 3 - "), F.col("l_partkey").cast("string")).alias("expression"))
     return calculator.calculated(rows, "expression").select("l_orderkey", "l_linenumber", "result")
+
+
+@query("select l_orderkey, l_linenumber, (l_orderkey * 3 - l_partkey)::varchar as result from lineitem")
+def tools_calc_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_orderkey").cast("string"), F.lit(" * 3 - "), F.col("l_partkey").cast("string")).alias("expression"))
+    return calculator.calculated(rows, "expression").select("l_orderkey", "l_linenumber", "result")

@@ -97,6 +97,12 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.cosine(vec_acl(spark, d), asked, 10)
 
 
+@query(f"with {_cosine_sql(chr(91) + chr(39) + 'public' + chr(39) + ',' + chr(39) + 'hr' + chr(39) + ',' + chr(39) + 'staff' + chr(39) + chr(93))} select query_id, chunk_id, score, rank from cosine where rank <= 10")
+def cosine_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    asked = _vector_questions(spark, d).withColumn("user_tags", F.array(*map(F.lit, ("public", "hr", "staff"))))
+    return search.cosine(vec_acl(spark, d), asked, 10)
+
+
 @query(f"with {_cosine_sql('q.user_tags')} select query_id, chunk_id, score, rank from cosine")
 def cosine_acl_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.cosine(vec_acl(spark, d), _vector_questions(spark, d))

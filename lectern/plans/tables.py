@@ -78,12 +78,21 @@ REQLOG = """reqlog as (select event_id as id, ts, user_id::varchar as user_id, e
 
 
 def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, kind, request_id, payload of the first 200 events."""
-    rows = table(spark, sf_dir, "events").orderBy("event_id").limit(200)
-    return rows.select((F.col("event_id") + 1).alias("seq"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("r"), F.col("event_id").cast("string"))).alias("request_id"), F.col("props").alias("payload"))
+    """seq, kind, request_id, payload of the first 200 events, as `LEDGER` has them."""
+    return _entries(table(spark, sf_dir, "events").orderBy("event_id").limit(200))
+
+
+def ledger_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, kind, request_id, payload of every event."""
+    return _entries(table(spark, sf_dir, "events"))
+
+
+def _entries(events: DataFrame) -> DataFrame:
+    return events.select((F.col("event_id") + 1).alias("seq"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("r"), F.col("event_id").cast("string"))).alias("request_id"), F.col("props").alias("payload"))
 
 
 LEDGER = "ledger_rows as (select event_id + 1 as seq, event_type as kind, case when event_id % 7 <> 0 then 'r' || event_id end as request_id, props as payload from (select * from events order by event_id limit 200))"
+LEDGER_ALL = "ledger_rows as (select event_id + 1 as seq, event_type as kind, case when event_id % 7 <> 0 then 'r' || event_id end as request_id, props as payload from events)"
 
 #: Snippets planted into documents: (remainder of doc_id by 13, text).  Fixed test values.
 PLANTED_TEXT = (

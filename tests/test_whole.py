@@ -2,8 +2,12 @@
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from lectern.operators import ledger
 from lectern.plans.registry import QUERIES
+from lectern.plans.tables import ledger_all
+from tests.oracle import DATA
 
 
 def documents(folder, texts):
@@ -28,3 +32,25 @@ def test_screens_read_whole_documents(spark, tmp_path):
     redacted = rows_of(spark, "pii_redact_email_whole", d)
     assert sorted(redacted) == [0, 1, 2] and redacted[1].redacted.startswith(far + "Mail [REDACTED:email] or")
     assert {i: r.has_phone for i, r in rows_of(spark, "pii_phone_flag_whole", d).items()} == {0: False, 1: True, 2: False}
+
+
+def test_ledger_takes_every_event(spark, tmp_path):
+    n = 700
+    pq.write_table(pa.table({"event_id": pa.array(range(n), pa.int64()), "event_type": ["view"] * n, "props": [f'{{"k": {i}}}' for i in range(n)]}), f"{tmp_path}/events.parquet")
+    d = str(tmp_path)
+    assert tuple(QUERIES["ledger_verify_all"](spark, d).first()) == (True, n, None, None)
+    assert tuple(QUERIES["ledger_head_all"](spark, d).first()) == (n, n)
+    assert QUERIES["ledger_hash_all"](spark, d).count() == n
+    rows = ledger_all(spark, d)
+    chain = ledger.chained(rows.repartition(5))
+    want = ledger.append(spark, [tuple(r[1:]) for r in sorted(rows.collect())])
+    assert sorted(map(tuple, chain.collect())) == sorted(map(tuple, want.collect()))
+    broken = chain.withColumn("payload", F.when(F.col("seq") == 650, "x").otherwise(F.col("payload")))
+    assert tuple(ledger.verify(broken).first()) == (False, 650, 650, "hash")
+    assert ledger.chained(rows.where("false")).count() == 0
+
+
+def test_calculator_and_cosine_take_all(spark):
+    assert QUERIES["tools_calc_all"](spark, DATA).where("l_orderkey % 50 <> 1 and result is not null").count() > 0
+    asked = spark.read.parquet(f"{DATA}/benchmark.parquet").count()
+    assert 1 < QUERIES["cosine_topk_all"](spark, DATA).select("query_id").distinct().count() <= asked
