@@ -14,7 +14,7 @@ from lectern.plans.tables import docs_acl, questions, table
 
 @query()
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 2000).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     hits = search.bm25(docs_acl(spark, d), questions(spark, d), 5).join(docs, "doc_id").select("query_id", "rank", "text")
     return answer.answered(questions(spark, d), hits, search.gate(questions(spark, d), hybrid_topk(spark, d)))
 

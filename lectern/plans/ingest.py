@@ -120,6 +120,11 @@ def cite_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.linked_citations(F.concat(F.substring("html", 1, 200), F.lit(" [1]"))).alias("body"))
 
 
+@query("""select page_id, regexp_replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;'), '\\[\\s*(\\d+)\\s*\\]', '<a class="cite" href="#source-\\1">[\\1]</a>', 'g') || ' <a class="cite" href="#source-1">[1]</a>' as body from pages""")
+def cite_links_whole(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.linked_citations(F.concat("html", F.lit(" [1]"))).alias("body"))
+
+
 @query("select page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') as title from pages")
 def html_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))

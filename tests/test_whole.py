@@ -54,3 +54,18 @@ def test_calculator_and_cosine_take_all(spark):
     assert QUERIES["tools_calc_all"](spark, DATA).where("l_orderkey % 50 <> 1 and result is not null").count() > 0
     asked = spark.read.parquet(f"{DATA}/benchmark.parquet").count()
     assert 1 < QUERIES["cosine_topk_all"](spark, DATA).select("query_id").distinct().count() <= asked
+
+
+def test_answers_read_whole_documents(spark, tmp_path):
+    far = "Plain words go on here. " * 200
+    d = documents(tmp_path, ["none"] * 3 + [far + "The zebra crossed the quartz river. " + far, *["other text"] * 8])
+    pq.write_table(pa.table({"item_id": pa.array([0], pa.int64()), "text": ["x zebra quartz river"]}), f"{d}/benchmark.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array([0, 3], pa.int64()), "label": pa.array([0, 0], pa.int32()), "embedding": pa.array([[1.0, 0.0], [1.0, 0.1]], pa.list_(pa.float32()))}), f"{d}/embeddings.parquet")
+    found = rows_of(spark, "answers", d, "query_id")[0]
+    assert (found.answer, found.refused, found.citations) == ("The zebra crossed the quartz river. [1]", False, [1])
+
+
+def test_citations_are_linked_in_whole_pages(spark, tmp_path):
+    pq.write_table(pa.table({"page_id": pa.array([1], pa.int64()), "html": ["a" * 5000 + " & [7] end"]}), f"{tmp_path}/pages.parquet")
+    found = rows_of(spark, "cite_links_whole", str(tmp_path), "page_id")[1].body
+    assert found == "a" * 5000 + ' &amp; <a class="cite" href="#source-7">[7]</a> end <a class="cite" href="#source-1">[1]</a>'
