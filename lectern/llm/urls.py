@@ -20,7 +20,12 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
+#: Rounds and digits are those of the SQL.
 DAMPING, ROUNDS, THRESHOLD, DIGITS = 0.85, 8, 0.5, 12
+#: Scores are done when no host's grows by more than this share of itself; shares of distrust are compared to so many digits.
+TOLERANCE, SHARE_DIGITS = 1e-8, 6
+#: More rounds than this are an error.
+MOST_ROUNDS = 10_000
 #: Rules are sent with the plan; more than this many are refused.
 MOST_RULES = 10_000
 
@@ -47,33 +52,40 @@ def matched(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
 
 def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
     """src, dst, weight: share of a host's links to each other host.  Links within a host count as none."""
-    links = F.regexp_extract_all(F.col(html), F.lit("(?i)href\\s*=\\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\\s>]*)"), F.lit(1))
-    found = pages.where(F.col(host) != "").select(F.col(host).alias("src"), F.explode(links).alias("link")).select("src", host_of(F.col("link")).alias("dst"))
+    links = F.regexp_extract_all(F.col(html), F.lit("(?i)href\\s*=\\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\\s>]*)"), F.lit(1))
+    found = pages.where(F.col(host) != "").select(F.col(host).alias("src"), F.explode(links).alias("link"))
+    # A link that starts with // has its page's scheme; only its host counts here.
+    found = found.select("src", host_of(F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))).alias("dst"))
     counts = found.where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     total = counts.groupBy("src").agg(F.sum("n").alias("all"))
     return counts.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("weight"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """kind, host, score after `rounds` rounds of personalised PageRank from seeds (kind, host, score; adding up to 1 for each kind).
+def propagated(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
+    """kind, host, score of personalised PageRank from seeds (kind, host, score; adding up to 1 for each kind).
 
     edges (kind, src, dst, weight) have weights that add up to 1 for each source.  What a host without edges
-    holds goes back to the seeds, as does 1 - DAMPING of the rest.
+    holds goes back to the seeds, as does 1 - DAMPING of the rest: the scores are then those of y = seeds + DAMPING * (what y
+    sends along edges), divided by their sum.  Every round adds to y, and reaches hosts one link further, until no
+    host's y grows by more than `tolerance` of itself, whatever its size.
     """
     seeds, edges = checkpoint(seeds), checkpoint(edges)
     if edges.isEmpty():
         return seeds
+    links = edges.withColumnRenamed("src", "host")
     state = seeds
-    for _ in range(rounds):
-        moved = state.join(edges.withColumnRenamed("src", "host"), ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("score") * F.col("weight"))).alias("score"))
-        # A host's weights add up to 1, so what all hosts with edges have passed on is what has moved.
-        spread = moved.groupBy("kind").agg(F.sum("score").alias("kept"))
-        back = seeds.join(spread, "kind", "left").select("kind", "host", (F.col("score") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("score"))
-        state = checkpoint(moved.union(back).groupBy("kind", "host").agg(F.round(F.sum("score"), DIGITS).alias("score")))
-    return state
-
-
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
+    for _ in range(most):
+        moved = state.join(links, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("score") * F.col("weight")).alias("score"), F.lit(0.0).alias("before"))
+        rows = moved.union(seeds.select("kind", "host", "score", F.lit(0.0))).union(state.select("kind", "host", F.lit(0.0), "score"))
+        grown = checkpoint(rows.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")))
+        state = grown.select("kind", "host", "score")
+        if grown.where(F.col("score") - F.col("before") > tolerance * F.col("score")).isEmpty():
+            total = state.groupBy("kind").agg(F.sum("score").alias("all"))
+            return state.join(total, "kind").select("kind", "host", (F.col("score") / F.col("all")).alias("score"))
+    raise RuntimeError(f"scores of hosts still change after {most} rounds")
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages (page_id, url, html).
 
     A null url, or one without ://, has an empty host and path: no rule fits, and it is allowed, as are
@@ -89,18 +101,18 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, rou
     back = links.groupBy("dst").agg(F.sum("weight").alias("all"))
     back = links.join(back, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("all")).alias("weight"))
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(back)
-    scores = propagated(seeds, edges, rounds).groupBy(F.col("host").alias("h")).agg(
+    scores = propagated(seeds, edges).groupBy(F.col("host").alias("h")).agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
     )
-    bad = scores.where(F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust"))).select("h")
+    bad = scores.where(F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), SHARE_DIGITS) > THRESHOLD).select("h")
     plain = named.select("page_id", "host", "path", "fit").join(bad, F.col("host") == F.col("h"), "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("h").isNotNull(), "block").otherwise("allow"))
     return plain.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def oracle(rules: tuple[tuple[str, str, str], ...] = RULES, rounds: int = ROUNDS) -> str:
-    """The same over the views of DuckDB; every round is a subquery."""
+    """The same over the views of DuckDB, but for `rounds` rounds only, each a subquery, and without links that start with //."""
     listed = ", ".join(f"('{h}', '{p}', '{v}', '{h}{p}')" for h, p, v in rules)
     sql = f"""with rules(rhost, rpath, rverdict, rule) as (values {listed}),
     named as (select page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from lectern.llm import urls
 from lectern.operators import ledger
 from lectern.plans.registry import QUERIES
 from lectern.plans.tables import ledger_all
@@ -69,3 +70,25 @@ def test_citations_are_linked_in_whole_pages(spark, tmp_path):
     pq.write_table(pa.table({"page_id": pa.array([1], pa.int64()), "html": ["a" * 5000 + " & [7] end"]}), f"{tmp_path}/pages.parquet")
     found = rows_of(spark, "cite_links_whole", str(tmp_path), "page_id")[1].body
     assert found == "a" * 5000 + ' &amp; <a class="cite" href="#source-7">[7]</a> end <a class="cite" href="#source-1">[1]</a>'
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def verdicts(spark, pages):
+    return {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, PAGES)).collect()}
+
+
+def test_distrust_travels_any_number_of_links(spark):
+    chain = [(k, f"http://h{k}.test/", f"<a href='http://h{k - 1}.test/'>") for k in range(2, 16)]
+    found = verdicts(spark, [(1, "http://h1.test/", '<a href="//bad.org/z">'), (0, "http://bad.org/es/1", ""), *chain, (99, "http://alone.test/", "")])
+    assert found == {k: "block" for k in range(16)} | {99: "allow"}
+
+
+def test_verdicts_do_not_hang_on_the_size_of_the_table(spark):
+    many = [(100 + k, f"http://s{k}.org/es/1", "") for k in range(2000)]
+    thin = " ".join(f"<a href='http://t{k}.test/'>" for k in range(99))
+    chain = [(k, f"http://h{k}.test/", f"<a href='http://h{k - 1}.test/'>{thin}") for k in range(2, 6)]
+    others = [(10 + k, f"http://x{k}.test/", " ".join(f"<a href='http://h{j}.test/'>" for j in range(1, 6))) for k in range(80)]
+    pages = [(0, "http://bad.org/es/1", ""), (1, "http://h1.test/", f"<a href='http://bad.org/'>{thin}"), *chain, *others]
+    assert {k: v for k, v in verdicts(spark, pages + many).items() if k < 6} == {k: "block" for k in range(6)}
