@@ -51,8 +51,8 @@ def anchors(templates: tuple[tuple[str, str], ...], threshold: float) -> tuple[s
     return tuple(sorted(chosen))
 
 
-def best_match(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """struct(neg, license, scope) of the best unit and template: neg is minus the Dice coefficient; null without a match."""
+def _hits(text: Column, templates: tuple[tuple[str, str], ...], threshold: float) -> Column:
+    """struct(neg, license, scope) of every unit and template that match: neg is minus the Dice coefficient."""
     known = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, bigrams(t))).alias("g")) for name, t in templates])
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     units = F.concat(
@@ -70,9 +70,66 @@ def best_match(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES,
         near = F.filter(known, lambda t: F.size(u["g"]).between(F.size(t["g"]) * (low - 1e-9), F.size(t["g"]) * (high + 1e-9)))
         return F.transform(near, lambda t: F.struct((-F.round(2.0 * F.size(F.array_intersect(u["g"], t["g"])) / (F.size(u["g"]) + F.size(t["g"])), DIGITS)).alias("neg"), t["license"].alias("license"), u["scope"].alias("scope")))
 
-    found = F.array_min(F.filter(F.flatten(F.transform(paired, scored)), lambda s: s["neg"] <= -threshold))
-    some = text.rlike("(?<![A-Za-z0-9])(?i:" + "|".join(anchors(templates, threshold)) + ")(?![A-Za-z0-9])")
-    return F.when(some, found)
+    return F.filter(F.flatten(F.transform(paired, scored)), lambda s: s["neg"] <= -threshold)
+
+
+def _some(text: Column, templates: tuple[tuple[str, str], ...], threshold: float) -> Column:
+    return text.rlike("(?<![A-Za-z0-9])(?i:" + "|".join(anchors(templates, threshold)) + ")(?![A-Za-z0-9])")
+
+
+def best_match(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """struct(neg, license, scope) of the best unit and template; null without a match."""
+    return F.when(_some(text, templates, threshold), F.array_min(_hits(text, templates, threshold)))
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is worked out once; body gives an array."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
+def _window_hits(text: Column, templates: tuple[tuple[str, str], ...], threshold: float) -> Column:
+    """struct(neg, license, scope) of every window of a text that matches a template.
+
+    A window starts and ends with a bigram of the template's and is at most as long as the template.  One that matches holds `need` of
+    its bigrams, so templates that share fewer with the text, and starts without as many ahead, are left out, which is exact.
+    """
+    rows = []
+    for name, t in templates:
+        g, words = bigrams(t), re.findall(TOKEN, t.translate(str.maketrans(UPPER, LOWER)))
+        need = math.ceil(len(g) * threshold / (2 - threshold) - 1e-9)
+        rows.append(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, g)).alias("g"), F.lit(len(words) - 1).alias("length"), F.lit(need).alias("need")))
+    none = F.expr("cast(array() as array<struct<neg: double, license: string, scope: string>>)")
+
+    def at(g: Column, t: Column, places: Column) -> Column:
+        starts = F.filter(places, lambda p, k: F.coalesce(F.get(places, k + t["need"] - 1) < p + t["length"], F.lit(False)))
+
+        def scored(p: Column) -> Column:
+            last = F.array_max(F.filter(places, lambda e: e < p + t["length"]))
+            return _let(F.array_distinct(F.slice(g, p, last - p + 1)), lambda w: F.array(F.struct((-F.round(2.0 * F.size(F.array_intersect(w, t["g"])) / (F.size(w) + F.size(t["g"])), DIGITS)).alias("neg"), t["license"].alias("license"), F.lit("window").alias("scope"))))
+
+        return F.filter(F.flatten(F.transform(starts, scored)), lambda s: s["neg"] <= -threshold)
+
+    def of(g: Column, t: Column) -> Column:
+        return _let(F.array_intersect(g, t["g"]), lambda shared: F.when(F.size(shared) >= t["need"], _let(F.filter(F.sequence(F.lit(1), F.size(g)), lambda i: F.array_contains(shared, F.get(g, i - 1))), lambda places: at(g, t, places))).otherwise(none))
+
+    def paired(w: Column) -> Column:
+        return F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return _let(F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0)), lambda w: _let(paired(w), lambda g: F.flatten(F.transform(F.array(*rows), lambda t: of(g, t)))))
+
+
+def scan_all(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, dice, scope of every licence that a row of docs (doc_id, text) matches, wherever in the text it stands.
+
+    Units are those of `scan` and windows of a template's length, so a licence of several paragraphs within a text, or a notice within
+    a line, is found.  Each licence has its best unit; of equal ones the first of line, paragraph, text and window.  A row without
+    a match, or without a text, has one row with nulls.
+    """
+    text = F.col("text")
+    found = F.concat(_hits(text, templates, threshold), _window_hits(text, templates, threshold))
+    best = _let(found, lambda h: F.transform(F.array_distinct(F.transform(h, lambda s: s["license"])), lambda n: F.array_min(F.filter(h, lambda s: s["license"] == n))))
+    rows = docs.select("doc_id", F.explode_outer(F.when(_some(text, templates, threshold), best)).alias("m"))
+    return rows.select("doc_id", F.col("m.license").alias("license"), (-F.col("m.neg")).alias("dice"), F.col("m.scope").alias("scope"))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

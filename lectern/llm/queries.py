@@ -19,6 +19,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_all(table(spark, sf_dir, "documents"))
+
+
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compared(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op1_license_scan_all": op1_license_scan_all,
     "op2_spotsigs": op2_spotsigs,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
