@@ -75,7 +75,7 @@ def plan(sizes: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
 
 
 def slots(planned: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix, a row for each slot: sid, epoch, slot, index (of the block), words (taken from its start), shard.
+    """The mix, a row for each slot: sid, epoch, slot, index (of the block), words (taken from its start), turn (slot over all epochs), shard.
 
     Ranges of slots are dealt out before they are written out, so that a large source is many tasks' work.
     """
@@ -90,7 +90,7 @@ def slots(planned: DataFrame, block: int = BLOCK) -> DataFrame:
     left = F.expr(f"rest - (slot * {block} - if(slot > short_at, {block} - short, 0))")
     taken = F.when(F.col("epoch") < F.col("epochs"), length).otherwise(F.greatest(F.lit(0), F.least(left, length)))
     shard = F.pmod(F.xxhash64(F.lit(SEED), "sid", "all"), F.col("shards"))
-    return every.select("sid", "epoch", "slot", "index", taken.cast("long").alias("words"), shard.alias("shard"))
+    return every.select("sid", "epoch", "slot", "index", taken.cast("long").alias("words"), F.col("all").alias("turn"), shard.alias("shard"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -105,14 +105,15 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def _taken(marked: DataFrame, planned: DataFrame, block: int) -> DataFrame:
-    """rid, epoch, low, high: the words low..high-1 of a row that a slot takes."""
+    """rid, epoch, low, high: the words low..high-1 of a row that a slot takes; sid, turn and shard of the slot, and at, where in it they begin."""
     names = planned.select("sid", F.col("source").alias("name__"))
     rows = marked.where("size > 0").join(names, F.col("source").eqNullSafe(F.col("name__"))).select("rid", "doc_id", "sid", "size")
     spans = numbered(rows).withColumn("index", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
     met = spans.join(slots(planned, block).hint("merge"), ["sid", "index"])
     low = F.expr(f"greatest(index * {block}, begin) - begin")
     high = F.expr(f"least(index * {block} + words, begin + size) - begin")
-    return met.select("rid", "epoch", low.alias("low"), high.alias("high")).where("low < high")
+    at = F.expr(f"greatest(begin - index * {block}, 0)")
+    return met.select("rid", "epoch", low.alias("low"), high.alias("high"), "sid", "turn", "shard", at.alias("at")).where("low < high")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
@@ -148,3 +149,33 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*names)
+
+
+def mixed_shards(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
+    """The mix in its shards: shard, place (1, 2, 3, ... in the shard), then docs' columns; a row for what a slot takes of a document.
+
+    A shard's slots are in a seeded order, whatever their source; the pieces of a slot follow each other as in its block.  A piece
+    that is a whole document keeps its text, else the words are joined by one space.  n_chars, if there, follows the text.
+    """
+    names = docs.columns
+    marked = written(docs.withColumns({"size": n_words(F.col("text")), "rid": F.monotonically_increasing_id()}), "mix")
+    sizes = marked.select("doc_id", "source", "size", "rid")
+    planned = checkpoint(plan(sizes, block, **rule))
+    # Places are dealt to the pieces before they meet their texts, which so move once.
+    turns = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED), F.lit("place"), "sid", "turn"), "sid", "turn", "at", "rid")
+    placed = _taken(sizes, planned, block).withColumn("place", F.row_number().over(turns))
+    pieces = placed.groupBy("rid").agg(F.collect_list(F.struct("shard", "place", "low", "high")).alias("pieces"))
+    rows = marked.join(pieces.hint("shuffle_hash"), "rid")
+
+    def cut(w: Column) -> Column:
+        def piece(p: Column) -> Column:
+            said = F.array_join(F.slice(w, (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int")), " ")
+            return F.struct(*[p[n].alias(n) for n in ("shard", "place")], F.when(p["high"] - p["low"] == F.col("size"), F.col("text")).otherwise(said).alias("text"))
+
+        return F.transform("pieces", piece)
+
+    rows = rows.withColumn("piece", F.explode(F.flatten(F.transform(F.array(words(F.col("text"))), cut))))
+    rows = rows.select("piece.shard", "piece.place", *[F.col("piece.text").alias(n) if n == "text" else F.col(n) for n in names])
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select("shard", "place", *names)

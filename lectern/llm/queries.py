@@ -52,6 +52,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_shards(table(spark, sf_dir, "documents")).select("shard", "place", "doc_id", "source", "text")
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_archive": op6_warc_archive,
     "op7_embedding_neardup": op7_embedding_neardup,
     "op8_mixing": op8_mixing,
+    "op8_mixing_shards": op8_mixing_shards,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_language_id": op10_language_id,
 }

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lectern.llm import licenses, urls
+from lectern.llm import licenses, mixing, urls
 from lectern.llm.license_texts import TEMPLATES
 from lectern.operators import ledger
 from lectern.plans.registry import QUERIES
@@ -131,3 +131,16 @@ def test_licences_inside_longer_texts(spark):
     for k in (0, 1):
         want = brute_licences(texts[k])
         assert set(want) == set(found[k]) and all(found[k][n] >= want[n] - 1e-9 for n in ("MIT",))
+
+
+def test_mix_comes_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 64)
+    rows = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = mixing.mixed_shards(rows, block=16).toPandas()
+    want = {r.doc_id: r.taken for r in mixing.mix(rows, block=16).collect() if r.taken}
+    assert out.text.map(lambda t: len(t.encode().split())).groupby(out.doc_id).sum().to_dict() == want
+    assert out.shard.nunique() > 1 and (out.groupby("shard").place.max() == out.groupby("shard").size()).all() and not out.duplicated(["shard", "place"]).any()
+    assert out.groupby("shard").source.nunique().max() > 1
+    again = mixing.mixed_shards(rows.repartition(7), block=16).toPandas()
+    order = ["shard", "place", "doc_id", "text"]
+    assert out[order].sort_values(order[:2]).values.tolist() == again[order].sort_values(order[:2]).values.tolist()
