@@ -25,7 +25,7 @@ from lectern.functions.shipping import map_arrow
 from lectern.llm.common import text_chunks, utf8
 
 LENGTH, END_ID = 4096, 2
-SENTENCE, TRUNCATED, WINDOW_COST, STRIDE, CLOSE = 4, 24, 16, 64, 16
+SENTENCE, TRUNCATED, WINDOW_COST, STRIDE = 4, 24, 16, 64
 #: Tokens of a block, and words, and as many parts of words, whose ids a Python worker keeps (up to twice as
 #: many, 0.2 KB each); fewer cost time.
 BLOCK, CACHED = 1 << 18, 300_000
@@ -99,11 +99,8 @@ class WordTokenizer:
 
 
 def cuts_of(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[list[int], list[int]]:
-    """Positions where windows may end, and their penalties; the first is 0.  Of sentence ends within `CLOSE` tokens one is enough."""
-    at = np.flatnonzero(sentence_ends[ids]) + 1
-    if len(at):
-        at = at[np.concatenate([[True], at[1:] // CLOSE != at[:-1] // CLOSE])]
-    at = np.union1d(at, doc_ends)
+    """Positions where windows may end, and their penalties; the first is 0.  Every sentence end is one."""
+    at = np.union1d(np.flatnonzero(sentence_ends[ids]) + 1, doc_ends)
     at = np.concatenate([[0], at[at > 0]])
     gaps = np.diff(at)
     wide = np.flatnonzero(gaps > STRIDE)

@@ -2,11 +2,12 @@
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lectern.llm import licenses, mixing, urls
+from lectern.llm import licenses, mixing, packing, urls
 from lectern.llm.license_texts import TEMPLATES
 from lectern.operators import ledger
 from lectern.plans.registry import QUERIES
@@ -144,3 +145,9 @@ def test_mix_comes_in_shards(spark, monkeypatch):
     again = mixing.mixed_shards(rows.repartition(7), block=16).toPandas()
     order = ["shard", "place", "doc_id", "text"]
     assert out[order].sort_values(order[:2]).values.tolist() == again[order].sort_values(order[:2]).values.tolist()
+
+
+def test_every_sentence_end_is_a_cut():
+    ids = np.array([0, 1] * 20)
+    at, _ = packing.cuts_of(ids, np.array([40]), np.array([False, True]))
+    assert at == [0, *range(2, 41, 2)]
