@@ -5,19 +5,22 @@ each word, so each window is represented by the smallest hash among its `GRAM`-w
 windows choose the same gram, wherever they stand, hence no repeated window can hide.  One posting stands
 for a chosen gram and its context, the words of all windows that chose it.
 
-* The index holds, for each gram, the smallest and largest doc_id and context.  A batch of
-  documents becomes one sorted immutable run.  Each new batch is merge-joined with the runs before it; runs are
-  compacted into one when there are `FANOUT` of them.
-* Grams of one document only are done.  A context that an earlier document has word for word (64-bit
-  digests of gram and of context) is a run of repeated windows.
-* What is left are contexts at the edges of repeated passages.  Their single windows are verified by
-  96-bit digests of their words.
+* The index has a sorted immutable run for each batch of documents: one row for each gram, bucketed by it, and the
+  contexts of grams that have several.  A new batch becomes a run and is merge-joined with the older ones, bucket by
+  bucket; this decides which of its postings are repeated.  When there are `FANOUT` runs they are compacted into one.
+  The index can be kept, and opened again by its path, for batches that come later.
+* Grams of one document only are done.  A context that an earlier document has word for word is a run of repeated windows.
+* What is left are contexts at the edges of repeated passages.  Their single windows are verified by their words.
+
+Words of up to 15 bytes are compared as they are, longer ones by 128 bits of BLAKE2b; contexts by 64 and single windows by 96 bits of
+BLAKE2b over their words.  The hash of a gram only proposes.
 
 A word is removed if any window over it also starts in a document with a smaller doc_id.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,58 +31,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.shipping import map_arrow
-from lectern.llm.common import checkpoint, remove, scratch, text_chunks, utf8, word_bounds
+from lectern.llm.common import checkpoint, entries, partitions, remove, scratch, text_chunks, utf8, word_bounds
 
-WINDOW, GRAM, FANOUT, BATCHES = 50, 10, 2, 2
-#: Words of a posting's context, at most (with a window more it must fit 16 bits).
+WINDOW, GRAM, FANOUT, BATCHES = 50, 10, 2, 3
+#: Words of a posting's context, at most: longer runs of one context are several rows.
 LONGEST = 60000
 M = (1 << 64) - 1
-#: Odd multipliers of the polynomial digests.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-
-
-def _mixed(x: np.ndarray, k: int) -> np.ndarray:
-    x = x ^ x >> np.uint64(31)
-    x = x * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-    x = x ^ x >> np.uint64(27)
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-class _Powers:
-    """Powers of a base and of its inverse modulo 2**64, as far as asked for."""
+#: Bytes of a word that are kept as they are.
+PLAIN = 15
 
-    def __init__(self, base: int) -> None:
-        self.base, self.n = base, 0
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 2 * self.n)
-            first = [np.full(self.n, b, np.uint64) for b in (self.base, pow(self.base, -1, 1 << 64))]
-            for f in first:
-                f[0] = 1
-            self.up, self.down = (np.cumprod(f) for f in first)
-        return self.up[:n], self.down[:n]
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of pairs of numbers."""
+    z = x * np.uint64(0x9E3779B97F4A7C15) + (y ^ y >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    z ^= z >> np.uint64(32)
+    z *= np.uint64(0xD6E8FEB86659FD93)
+    z ^= z >> np.uint64(29)
+    return z
 
 
-class _Digests:
-    """Digests of runs of words: (start, end) of any length by prefix sums of a polynomial."""
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-    def __init__(self, hashes: np.ndarray, powers: _Powers) -> None:
-        up, self.down = powers.get(len(hashes) + 1)
-        self.sums = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * up[:-1], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two numbers for each word: its bytes and length, or 128 bits of BLAKE2b of a word of more than PLAIN bytes."""
+    size = ends - starts
+    room = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(room, 8)
+    codes = np.empty((len(starts), 2), np.uint64)
+    codes[:, 0] = np.ascontiguousarray(eight[starts]).view(np.uint64)[:, 0] & _MASKS[np.minimum(size, 8)]
+    codes[:, 1] = np.ascontiguousarray(eight[starts + 8]).view(np.uint64)[:, 0] & _MASKS[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > PLAIN)
+    if len(long):
+        raw = data.tobytes()
+        found = b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        codes[long] = np.frombuffer(found, np.uint64).reshape(-1, 2)
+    return codes
 
 
-_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[2]), 3)
-_POWERS = [_Powers(b) for b in BASES]
+def _grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n neighbouring words, by doubling."""
+    h, have = _mixed(codes[:, 0], codes[:, 1]), 1
+    while 2 * have <= n:
+        h, have = _mixed(h[:-have], h[have:]), 2 * have
+    return _mixed(h[: len(h) - (n - have)], h[n - have :])
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return _mixed(_Digests(_BYTES[data], _POWERS[0]).of(starts, ends) + (ends - starts).astype(np.uint64), 0)
+def _digests(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> bytes:
+    """BLAKE2b digests of `size` bytes of the words from each start to each end, one after the other."""
+    view, make = memoryview(np.ascontiguousarray(codes)).cast("B"), hashlib.blake2b
+    return b"".join([make(view[s:e], digest_size=size).digest() for s, e in zip((16 * starts).tolist(), (16 * ends).tolist(), strict=True)])
 
 
 def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
@@ -92,17 +93,16 @@ def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
 
 
 def postings_of(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Document number, gram and context digest, first word and number of words of the context of each chosen gram."""
+    """Document number, gram, context digest, first word and number of words of the context of each chosen gram."""
     starts, ends, first = word_bounds(data, offsets)
     n, gram = len(starts), min(GRAM, window)
     span = window - gram + 1
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     if n < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
-    h = _word_hashes(data, starts, ends)
+        return none
+    codes = word_codes(data, starts, ends)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    d1, d2 = _Digests(h, _POWERS[1]), _Digests(_mixed(h, 1), _POWERS[2])
-    at = np.arange(n - gram + 1)
-    g = _mixed(d1.of(at, at + gram), 2)
+    g = _grams(codes, gram)
     g[g == 0] = 1
     low = _sliding(g, span, np.minimum)
     stop = first[1:][doc]
@@ -111,7 +111,7 @@ def postings_of(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.
     best[span - 1 : span - 1 + len(low)] = np.where(fits, low, 0)
     p = np.flatnonzero(_sliding(best, span, np.maximum)[: len(g)] == g)
     if not len(p):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return none
     # The windows that chose gram p start after the last smaller gram before it and end before the first one after it.
     near = np.full(len(g) + 2 * span, M, np.uint64)
     near[span : span + len(g)] = g
@@ -124,7 +124,7 @@ def postings_of(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.
         less = near[q[:, None] + span + steps] < g[q][:, None]
         b[k : k + len(q)] = q + np.where(less.any(1), less.argmax(1), span - 1) - span + 1
     a, b = np.maximum(a, first[doc[p]]), np.minimum(np.minimum(b, p), stop[p] - window)
-    c = _mixed(d2.of(a, b + window) + ((p - a) * 1024 + (b - a)).astype(np.uint64), 5)
+    c = _mixed(np.frombuffer(_digests(codes, a, b + window, 8), np.uint64), (p - a).astype(np.uint64))
     # Monotonous text repeats a context at overlapping places: these are one posting, as what holds for one holds for all.
     d, f, a, b = doc[p], g[p], a - first[doc[p]], b + window - first[doc[p]]
     new = np.ones(len(p), bool)
@@ -134,120 +134,169 @@ def postings_of(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.
 
 
 def windows_of(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two digests of the windows that start at the given words of the given documents."""
+    """Two numbers, 96 bits in all, for the windows that start at the given words of the given documents."""
     starts, ends, first = word_bounds(data, offsets)
-    h = _word_hashes(data, starts, ends)
     at = first[doc] + start
-    return _mixed(_Digests(h, _POWERS[1]).of(at, at + window), 6), _mixed(_Digests(_mixed(h, 1), _POWERS[2]).of(at, at + window), 7)
+    found = np.frombuffer(_digests(word_codes(data, starts, ends), at, at + window, 12), np.uint32).reshape(-1, 3)
+    return np.ascontiguousarray(found[:, :2]).view(np.int64)[:, 0], found[:, 2].view(np.int32)
+
+
+LOG = "f long, c long, doc_id long, twin long, at long"
 
 
 def postings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """f, c, doc_id, at: the chosen grams of every document with a doc_id; at packs first word, number of words, twin."""
+    """f, c, doc_id, twin, at: the chosen grams of every row of docs (doc_id, twin, text) with a doc_id.  twin tells rows of equal doc_id apart;
+    at packs first word and number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches):
             doc, f, c, a, n = postings_of(*utf8(b.column("text")), window)
-            twin = b.column("twin").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f.view(np.int64), c.view(np.int64), ids, (a << 32) + (n << 16) + twin)], ["f", "c", "doc_id", "at"])
+            ids, twins = (b.column(x).to_numpy(zero_copy_only=False)[doc].astype(np.int64) for x in ("doc_id", "twin"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f.view(np.int64), c.view(np.int64), ids, twins, (a << 32) + n)], ["f", "c", "doc_id", "twin", "at"])
 
-    return map_arrow(docs.where("doc_id is not null").select("doc_id", "twin", "text"), run, "f long, c long, doc_id long, at long")
+    return map_arrow(docs.where("doc_id is not null").select("doc_id", "twin", "text"), run, LOG)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (f, lo, hi, c0, c1): of each gram the smallest and largest doc_id and context."""
+    """Sorted immutable runs at a path, which can be opened again by another index at that path.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT) -> None:
+    A run has `grams`, bucketed and sorted by f: f, doc_id, twin, at, c (the posting with the smallest doc_id), hi (the largest doc_id),
+    several (contexts); and `contexts`: f, c, doc_id, twin, at for each context of a gram with several.  A run counts once its contexts
+    are complete.  Merging runs takes smallest and largest values, so a run that is merged twice, as after a crash in compaction, changes
+    nothing.
+    """
+
+    GRAMS = "f bigint, doc_id bigint, twin bigint, at bigint, c bigint, hi bigint, several boolean"
+    WHO = ("doc_id", "twin", "at", "c")
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fanout: int = FANOUT) -> None:
         self.spark, self.path, self.fanout = spark, path or scratch(spark, "fingerprints"), fanout
-        self.runs: list[str] = []
-        self.made = 0
+        done = sorted(name for name in entries(spark, self.path) if "_SUCCESS" in entries(spark, f"{self.path}/{name}/contexts"))
+        self.runs: list[str] = done
+        self.made = max([int(name.split("-")[1]) + 1 for name in entries(spark, self.path)], default=0)
+        self.buckets = int(done[0].split("-")[2]) if done else buckets or partitions(spark)
+
+    def _name(self, run: str) -> str:
+        return "lectern_" + hashlib.md5(f"{self.path}/{run}".encode()).hexdigest()
+
+    def grams(self, run: str) -> DataFrame:
+        self.spark.sql(f"create table if not exists {self._name(run)} ({self.GRAMS}) using parquet clustered by (f) sorted by (f) into {self.buckets} buckets location '{self.path}/{run}/grams'")
+        return self.spark.table(self._name(run))
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.path}/run-{self.made:05d}"
+    def contexts(self, run: str) -> DataFrame:
+        return self.spark.read.schema(LOG).parquet(f"{self.path}/{run}/contexts")
+
+    def _new(self, grams: DataFrame) -> str:
+        run = f"run-{self.made:06d}-{self.buckets}"
         self.made += 1
-        rows.sortWithinPartitions("f").write.parquet(path)
-        self.runs.append(path)
-        return self.read(path)
-
-    def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("f long, lo long, hi long, c0 long, c1 long").parquet(path)
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch of postings as a run.  Returns the batch's run with what the older runs knew of its grams:
-        f, lo, hi, c0, c1 over both, seen (a gram of an older run)."""
-        older = list(self.runs)
-        new = self._write(batch.groupBy("f").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1")))
-        found = new.withColumn("seen", F.lit(False))
-        for path in older:
-            old = self.read(path).select("f", *[F.col(x).alias(f"{x}_") for x in ("lo", "hi", "c0", "c1")])
-            found = found.join(old, "f", "left").select("f", F.least("lo", "lo_").alias("lo"), F.greatest("hi", "hi_").alias("hi"), F.least("c0", "c0_").alias("c0"), F.greatest("c1", "c1_").alias("c1"), (F.col("seen") | F.col("lo_").isNotNull()).alias("seen"))
-        return found
+        self.grams(run)
+        grams.select("f", *self.WHO, "hi", "several").write.insertInto(self._name(run))
+        self.spark.catalog.refreshTable(self._name(run))
+        return run
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"drop table if exists {self._name(run)}")
+        remove(self.spark, f"{self.path}/{run}")
+
+    def looked_up(self, run: str) -> DataFrame:
+        """The run's grams, merge-joined with all older runs: f, lo, hi, several over all, and old, the older runs' postings of f."""
+        found = self.grams(run).select("f", F.col("doc_id").alias("lo"), "hi", "several", "c", F.array().cast("array<struct<c:bigint,doc_id:bigint,twin:bigint,at:bigint>>").alias("old"))
+        for other in self.runs:
+            o = self.grams(other).select("f", F.struct("c", "doc_id", "twin", "at").alias("o"), F.col("hi").alias("o_hi"), F.col("several").alias("o_several"))
+            several = F.col("several") | F.coalesce(F.col("o_several") | (F.col("o.c") != F.col("c")), F.lit(False))
+            old = F.when(F.col("o").isNotNull(), F.array_append("old", F.col("o"))).otherwise(F.col("old"))
+            found = found.join(o.hint("merge"), "f", "left").select("f", F.least("lo", "o.doc_id").alias("lo"), F.greatest("hi", "o_hi").alias("hi"), several.alias("several"), "c", old.alias("old"))
+        return found.select("f", "lo", "hi", "several", "old")
+
+    def add(self, log: DataFrame) -> DataFrame:
+        """Adds a batch of postings as a run.  Returns doc_id, twin, at, whole, later: the batch's contexts that an earlier document, of this batch or
+        of an older run, has (whole); and those, of older runs too, whose windows must be verified, with whether an earlier document has the gram (later)."""
+        if len(self.runs) >= self.fanout:
+            self.compact()
+        who = F.min(F.struct(*self.WHO)).alias("who")
+        grams = log.groupBy("f").agg(who, F.max("doc_id").alias("hi"), (F.min("c") < F.max("c")).alias("several"))
+        run = self._new(grams.select("f", "who.*", "hi", "several"))
+        wanted = checkpoint(self.looked_up(run).where("lo < hi or several"))
+        shared = checkpoint(log.join(wanted.select("f", "lo", "hi", "several"), "f"))
+        many = shared.where("several")
+        contexts = many.groupBy("f", "c").agg(F.min(F.struct("doc_id", "twin", "at")).alias("who")).select("f", "c", "who.*")
+        contexts.write.parquet(f"{self.path}/{run}/contexts")
+        repeated = wanted.where("several and lo < hi")
+        old = repeated.select("f", F.explode("old").alias("o")).select("f", "o.*")
+        for other in self.runs:
+            old = old.unionByName(self.contexts(other).join(repeated.select("f"), "f", "left_semi"))
+        old = checkpoint(old.select("f", "c", "doc_id", "twin", "at"))
+        first = old.union(self.contexts(run)).groupBy("f", "c").agg(F.min("doc_id").alias("first"))
+        known = shared.where("not several and doc_id > lo").select("doc_id", "twin", "at", F.lit(True).alias("whole"), F.lit(True).alias("later"))
+        known = known.union(many.where("lo < hi").join(first, ["f", "c"]).select("doc_id", "twin", "at", F.expr("doc_id > first").alias("whole"), F.expr("doc_id > lo").alias("later")))
+        known = checkpoint(known.union(old.select("doc_id", "twin", "at", F.lit(False), F.lit(False))))
+        self.runs.append(run)
+        return known
 
     def compact(self) -> None:
-        """Merges all runs into one, if there are as many as the fan-out."""
-        if len(self.runs) < self.fanout:
+        """Merges all runs into one."""
+        if len(self.runs) < 2:
             return
-        old, rows = self.runs, self.read(self.runs[0])
-        for path in old[1:]:
-            other = self.read(path).select("f", *[F.col(x).alias(f"{x}_") for x in ("lo", "hi", "c0", "c1")])
-            rows = rows.join(other, "f", "full_outer").select("f", F.least("lo", "lo_").alias("lo"), F.greatest("hi", "hi_").alias("hi"), F.least("c0", "c0_").alias("c0"), F.greatest("c1", "c1_").alias("c1"))
+        old = list(self.runs)
+        rows = self.grams(old[0]).select("f", F.struct(*self.WHO).alias("who"), "hi", "several", F.array().cast("array<struct<doc_id:bigint,twin:bigint,at:bigint,c:bigint>>").alias("more"))
+        for run in old[1:]:
+            o = self.grams(run).select("f", F.struct(*self.WHO).alias("o"), F.col("hi").alias("o_hi"), F.col("several").alias("o_several"))
+            several = F.coalesce("several", F.lit(False)) | F.coalesce("o_several", F.lit(False)) | F.coalesce(F.col("who.c") != F.col("o.c"), F.lit(False))
+            rows = rows.join(o.hint("merge"), "f", "full_outer").select("f", F.least("who", "o").alias("who"), F.greatest("hi", "o_hi").alias("hi"), several.alias("several"), F.filter(F.array_append(F.array_append(F.coalesce("more", F.array().cast("array<struct<doc_id:bigint,twin:bigint,at:bigint,c:bigint>>")), F.col("who")), F.col("o")), lambda x: x.isNotNull()).alias("more"))
+        # A gram that has several contexts only now brings those of its rows along.
+        contexts = rows.where("several").select("f", F.explode("more").alias("o")).select("f", "o.c", "o.doc_id", "o.twin", "o.at")
+        for run in old:
+            contexts = contexts.union(self.contexts(run).select("f", "c", "doc_id", "twin", "at"))
+        contexts = contexts.groupBy("f", "c").agg(F.min(F.struct("doc_id", "twin", "at")).alias("who")).select("f", "c", "who.*")
+        run = self._new(rows.select("f", "who.*", "hi", "several"))
+        contexts.write.parquet(f"{self.path}/{run}/contexts")
+        self.runs = [run]
+        for name in old:
+            self._drop(name)
+
+    def discard(self) -> None:
+        for run in self.runs:
+            self._drop(run)
         self.runs = []
-        self._write(rows)
-        for path in old:
-            remove(self.spark, path)
-
-    def repeated(self) -> DataFrame:
-        """f, lo, several (contexts) of the grams of two documents or more, over all runs."""
-        rows = self.read(self.runs[0])
-        for path in self.runs[1:]:
-            rows = rows.union(self.read(path))
-        if len(self.runs) > 1:
-            rows = rows.groupBy("f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
-        return rows.where("lo < hi").select("f", "lo", F.expr("c0 < c1").alias("several"))
-
-
-def _known(docs: DataFrame, window: int, batches: int) -> DataFrame:
-    """doc_id, at, whole, later of contexts that an earlier document has (whole) or whose windows must be verified."""
-    index = FingerprintIndex(docs.sparkSession)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else []
-    log, logs = None, []
-    for lo, hi in zip([None, *(cuts or [])], [*(cuts or []), None], strict=True):
-        part = docs if lo is None else docs.where(F.col("doc_id") > lo)
-        part = part if hi is None else part.where(F.col("doc_id") <= hi)
-        path = scratch(docs.sparkSession, "postings")
-        postings(part, window).write.parquet(path)
-        rows = docs.sparkSession.read.schema("f long, c long, doc_id long, at long").parquet(path)
-        logs.append(path)
-        index.add(rows)
-        index.compact()
-        log = rows if log is None else log.union(rows)
-    shared = checkpoint(log.join(index.repeated(), "f"))
-    least = checkpoint(shared.groupBy("f", "c").agg(F.min("doc_id").alias("first")))
-    for path in [*logs, *index.runs]:
-        remove(docs.sparkSession, path)
-    return checkpoint(shared.join(least, ["f", "c"]).where("doc_id > first or several").select("doc_id", "at", F.expr("doc_id > first").alias("whole"), F.expr("doc_id > lo").alias("later")))
-
-
-def _cuts(keyed: DataFrame, window: int, batches: int) -> DataFrame:
-    """doc_id, cuts: packed (first word, number of words, twin) of the passages to remove of each document."""
-    known = _known(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("twin__").alias("twin")), window, batches)
-    whole = known.where("whole").select("doc_id", "at")
-    edges = known.where("not whole").groupBy("doc_id").agg(F.collect_list(F.expr("at * 2 + int(later)")).alias("edges"))
+        remove(self.spark, self.path)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, twin (64 bits of a hash of the text), text, and row: all other columns, whatever their names."""
+    rest = [c for c in docs.columns if c not in ("text", "kept", "n_words", "n_removed")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+
+
+def _added(index: FingerprintIndex, docs: DataFrame, window: int) -> DataFrame:
+    """What the index finds for docs, which it then holds."""
+    path = scratch(docs.sparkSession, "postings")
+    postings(docs, window).write.parquet(path)
+    known = index.add(docs.sparkSession.read.schema(LOG).parquet(path))
+    remove(docs.sparkSession, path)
+    return known
+
+
+def _joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    lists = lists.select(F.col("doc_id").alias("its_id"), F.col("twin").alias("its_twin"), "found")
+    return docs.join(lists.hint("shuffle_hash"), (F.col("doc_id") == F.col("its_id")) & (F.col("twin") == F.col("its_twin")), "left").drop("its_id", "its_twin")
+
+
+def _cuts(docs: DataFrame, known: DataFrame, window: int) -> DataFrame:
+    """doc_id, twin, found: packed (first word, number of words) of the passages to remove of each of the keyed docs."""
+    whole = known.where("whole").select("doc_id", "twin", "at")
+    edges = known.where("not whole").groupBy("doc_id", "twin").agg(F.collect_set(F.expr("at * 2 + int(later)")).alias("found"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches):
-            lists, twins = b.column("edges"), b.column("twin__").to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = b.column("found")
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             if not sizes.any():
                 continue
             doc, at = np.repeat(np.arange(b.num_rows), sizes), lists.flatten().to_numpy(zero_copy_only=False)
-            own = (at >> 1 & 0xFFFF) == twins[doc]
-            doc, at = doc[own], at[own]
-            a, n = at >> 33, (at >> 17 & 0xFFFF) - window + 1
+            a, n = at >> 33, (at >> 1 & 0x7FFFFFFF) - window + 1
             more = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             d, s, later = np.repeat(doc, n), np.repeat(a, n) + more, np.repeat(at & 1, n) == 1
             k1, k2 = windows_of(*utf8(b.column("text")), d, s, window)
-            k2 >>= np.uint64(33)
             # Equal windows of a document that touch are one row: monotonous text has many.
             order = np.lexsort((s, later, k2, k1, d))
             d, s, later, k1, k2 = (x[order] for x in (d, s, later, k1, k2))
@@ -255,48 +304,68 @@ def _cuts(keyed: DataFrame, window: int, batches: int) -> DataFrame:
             new[1:] = (d[1:] != d[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (later[1:] != later[:-1]) | (s[1:] - s[:-1] > window) | (s[1:] // LONGEST != s[:-1] // LONGEST)
             i = np.flatnonzero(new)
             n = s[np.append(i[1:], len(s)) - 1] + window - s[i]
-            ids = b.column("key__").to_numpy(zero_copy_only=False)[d[i]].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k1[i].view(np.int64)), pa.array(k2[i].astype(np.int32)), pa.array(ids), pa.array((s[i] << 32) + (n << 16) + twins[d[i]]), pa.array(later[i])], ["k1", "k2", "doc_id", "at", "later"])
+            ids, twins = (b.column(x).to_numpy(zero_copy_only=False)[d[i]].astype(np.int64) for x in ("doc_id", "twin"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[i], k2[i], ids, twins, (s[i] << 32) + n, later[i])], ["k1", "k2", "doc_id", "twin", "at", "later"])
 
-    # Both this join and the last one keep all documents, so that they share one exchange of the texts.
-    seen = map_arrow(_with(keyed, edges).select("key__", "twin__", "text", "edges"), verified, "k1 long, k2 int, doc_id long, at long, later boolean")
+    # Both this join and the last one keep all documents and columns, so that they share one exchange of the texts.
+    seen = map_arrow(_joined(docs, edges).select("doc_id", "twin", "text", "found"), verified, "k1 long, k2 int, doc_id long, twin long, at long, later boolean")
     owner = seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    single = seen.where("later").join(owner, ["k1", "k2"]).where("owner < doc_id").select("doc_id", "at")
-    return whole.union(single).groupBy("doc_id").agg(F.collect_list("at").alias("cuts"))
-
-
-def _with(keyed: DataFrame, lists: DataFrame) -> DataFrame:
-    return keyed.join(lists.withColumnRenamed("doc_id", "key__").hint("shuffle_hash"), F.col("doc_id") == F.col("key__"), "left")
+    single = seen.where("later").join(owner, ["k1", "k2"]).where("owner < doc_id").select("doc_id", "twin", "at")
+    return whole.union(single).groupBy("doc_id", "twin").agg(F.collect_set("at").alias("found"))
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in text_chunks(batches):
+        texts, total, gone = [], [], []
+        for text, cut in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True):
+            parts = (text or "").encode().split()
+            left, at = [], 0
+            for s, e in sorted((x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in cut or ()):
+                if s > at:
+                    left += parts[at:s]
+                at = max(at, e)
+            left += parts[at:]
+            total.append(len(parts))
+            gone.append(len(parts) - len(left))
+            texts.append(b" ".join(left).decode())
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "kept", "n_words", "n_removed"])
+
+
+def _result(docs: DataFrame, keyed: DataFrame, cuts: DataFrame) -> DataFrame:
+    fields = [keyed.schema["row"], T.StructField("text", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
+    done = map_arrow(_joined(keyed, cuts).select("row", "text", "found"), _without, T.StructType(fields))
+    names = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
+    return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], "kept", "n_words", "n_removed")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """docs with kept (the remaining words joined by one space), n_words, n_removed.
 
-    Needs doc_id and text; other columns pass through.  Every window is judged on the input.  A null text has no
-    words; a document of fewer words than a window loses none.  Rows that repeat a doc_id aren't earlier than
-    each other, so none loses words to the other.  A null doc_id is neither earlier nor later than
-    any.  An empty table gives an empty one.
+    Needs doc_id and text; other columns pass through, whatever their names, but for those three, which are replaced.  Every
+    window is judged on the input.  A null text has no words; a document of fewer words than a window loses none.  Rows that
+    repeat a doc_id aren't earlier than each other, so none loses words to the other.  A null doc_id is neither earlier nor
+    later than any.  An empty table gives an empty one.  The table goes through an index of its own in batches of rising doc_id.
     """
-    names = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
-    keyed = docs.select(*names, F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int").alias("twin__"))
-    both = _with(keyed, _cuts(keyed, window, batches)).withColumnRenamed("cuts", "cuts__").drop("key__")
-
-    def kept(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(rows):
-            texts, total, gone = [], [], []
-            for text, cut, twin in zip(b.column("text").to_pylist(), b.column("cuts__").to_pylist(), b.column("twin__").to_pylist(), strict=True):
-                parts = (text or "").encode().split()
-                total.append(len(parts))
-                own = sorted((x >> 32, (x >> 32) + (x >> 16 & 0xFFFF)) for x in cut or () if x & 0xFFFF == twin)
-                left, at = [], 0
-                for s, e in own:
-                    if s > at:
-                        left += parts[at:s]
-                    at = max(at, e)
-                left += parts[at:]
-                gone.append(len(parts) - len(left))
-                texts.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "kept", "n_words", "n_removed"])
-
-    out = T.StructType([*docs.select(*names).schema.fields, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return map_arrow(both, kept, out)
+    spark = docs.sparkSession
+    keyed = _keyed(docs)
+    cuts = keyed.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else []
+    index, known = FingerprintIndex(spark), None
+    for lo, hi in zip([None, *(cuts or [])], [*(cuts or []), None], strict=True):
+        part = keyed if lo is None else keyed.where(F.col("doc_id") > lo)
+        part = part if hi is None else part.where(F.col("doc_id") <= hi)
+        found = _added(index, part, window)
+        known = found if known is None else known.union(found)
+    index.discard()
+    return _result(docs, keyed, _cuts(keyed, known, window))
+
+
+def dedup_batch(docs: DataFrame, index: FingerprintIndex, earlier: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Like dedup_substrings for a batch that comes after those in the index: its rows lose passages that rows of this batch, or of earlier batches, with
+    a smaller doc_id have.  The index then holds the batch too.
+
+    earlier: the rows (doc_id, text) that the index was made of, as they were.  They are read to verify single windows, and no row of theirs is returned.
+    """
+    keyed = _keyed(docs)
+    known = _added(index, keyed, window)
+    both = keyed.select("doc_id", "twin", "text").union(_keyed(earlier.select("doc_id", "text")).select("doc_id", "twin", "text"))
+    return _result(docs, keyed, _cuts(both, known, window))

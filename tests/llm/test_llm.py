@@ -164,6 +164,55 @@ def test_substrings_long_monotonous(spark):
     assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: 60, 3: 600}
 
 
+def test_substrings_in_batches_that_come_later(spark, tmp_path):
+    random.seed(12)
+    base = [[random.choice("abcdefgh ijk lmno pq".split()) for _ in range(random.randint(0, 90))] for _ in range(5)]
+    rows = [(i, " ".join(random.choice(base)[random.randint(0, 9) :] + random.choice(base))) for i in range(60)]
+    want = {r[0]: r for r in brute_substrings(rows, 12)}
+    random.shuffle(rows)
+    past = []
+    for part in (rows[:25], rows[25:40], rows[40:50], rows[50:]):
+        index = substrings.FingerprintIndex(spark, str(tmp_path / "index"), buckets=4)
+        assert len(index.runs) <= index.fanout
+        found = substrings.dedup_batch(spark.createDataFrame(part, "doc_id long, text string"), index, spark.createDataFrame(past, "doc_id long, text string"), 12)
+        got = sorted(map(tuple, found.select("doc_id", "n_words", "n_removed", "kept").collect()))
+        past += part
+        assert got == sorted(r for r in brute_substrings(past, 12) if r[0] in {i for i, _ in part})
+    assert index.made > 4 and want
+
+
+def test_index_side_has_no_exchange(spark, tmp_path):
+    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"), buckets=4)
+    for k in range(2):
+        index.add(substrings.postings(substrings._keyed(spark.createDataFrame([(k, " ".join(map(str, range(200 + 40 * k))))], "doc_id long, text string"))))
+    plan = index.looked_up(index.runs.pop())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_substrings_of_rows_that_repeat_a_doc_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(201)), " ".join(f"b{i}" for i in range(201))
+    rows = [(1, a), (2, a), (2, b), (2, "one two"), (3, b)]
+    found = sorted(map(tuple, substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed").collect()))
+    assert found == [(1, 201, 0), (2, 2, 0), (2, 201, 0), (2, 201, 201), (3, 201, 201)]
+
+
+def test_words_of_one_polynomial_digest_differ(spark):
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    words = ["".join("ab"[x ^ k] for x in bits) for k in (0, 1)]
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{words[0]} {rest}"), (2, f"{words[1]} {rest}"), (3, "a\0 " + rest), (4, "a " + rest), (5, "a " + rest)]
+    found = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 50}
+
+
+def test_substrings_keeps_columns_of_any_name(spark):
+    names = ["edges", "key__", "twin__", "cuts__", "twin", "row", "found", "at", "f", "its_id", "a.b"]
+    rows = spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    found = substrings.dedup_substrings(rows)
+    assert found.columns == [*rows.columns, "kept", "n_words", "n_removed"]
+    assert all([r[n] for n in names] == names for r in found.collect())
+
+
 def simhash_of(text):
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
