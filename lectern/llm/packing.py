@@ -11,54 +11,124 @@ shuffle; blocks of the stream are packed as they come, and what follows a block'
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.functions.shipping import map_arrow
-from lectern.llm.common import text_chunks, utf8
+from lectern.llm.common import CHUNK_BYTES, text_chunks, utf8
 
 LENGTH, END_ID = 4096, 2
 SENTENCE, TRUNCATED, WINDOW_COST, STRIDE = 4, 24, 16, 64
-#: Tokens of a block, and words, and as many parts of words, whose ids a Python worker keeps (up to twice as
-#: many, 0.2 KB each); fewer cost time.
+#: Tokens of a block, and words whose ids a Python worker keeps (up to twice as many, 0.2 KB each); fewer cost time.
 BLOCK, CACHED = 1 << 18, 300_000
 END = END_ID.to_bytes(4, "little")
-#: Characters that normalisation leaves alone but for their case, one for one.
-SIMPLE = regex.compile("[\\x21-\\x7e\\u00a1-\\u012f\\u0131-\\u024f]+")
+#: The end of the Latin characters of one or two bytes.
+LATIN = 0x250
+SPACE = re.compile(b"[\\x20\\x09-\\x0d]")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Kept(dict):
-    """What a function gave for each key.  When full it becomes the older half of what is kept, from which keys still in use come back."""
+class Merges:
+    """Byte-pair encoding of many parts of words at a time.
 
-    def __init__(self, f: Callable, most: int) -> None:
-        self.f, self.most, self.older = f, most, {}
+    In each round the pair of neighbours that comes first among the merges, the leftmost of several, becomes one symbol in every part that has
+    any; parts that have none are done.
+    """
 
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.pop(key, None)
-        if found is None:
-            found = self.f(key)
-        self[key] = found
-        return found
+    def __init__(self, model: dict, letters: dict[int, int]) -> None:
+        vocabulary, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        self.inner, self.last = (np.array([vocabulary[chr(letters[b]) + end] for b in range(256)], np.int32) for end in ("", suffix))
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        self.width = max(vocabulary.values()) + 1
+        keys = np.array([vocabulary[a] * self.width + vocabulary[b] for a, b in pairs], np.int64)
+        self.order = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys = keys[self.order]
+        self.none = len(pairs)
+
+    @classmethod
+    def of(cls, model: dict, letters: dict[int, int]) -> Merges | None:
+        """None if the model isn't plain byte-pair encoding with a symbol for every byte."""
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+        suffix = model.get("end_of_word_suffix") or ""
+        return cls(model, letters) if plain and model["merges"] and all(chr(c) + end in model["vocab"] for c in letters.values() for end in ("", suffix)) else None
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * self.width + right
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[i] == key, self.order[i], self.none)
+
+    def encode(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, which are the bytes one after the other, and each part's number of ids.  No part is empty."""
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        symbol, ends = self.inner[data], np.cumsum(size) - 1
+        symbol[ends] = self.last[data[ends]]
+        rank = np.full(len(symbol), self.none, np.int32)
+        rank[:-1] = self._rank(symbol[:-1], symbol[1:])
+        rank[ends] = self.none
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            final = np.ones(len(owner), bool)
+            np.not_equal(owner[1:], owner[:-1], out=final[:-1])
+            starts = np.flatnonzero(np.concatenate([[True], final[:-1]]))
+            best = np.minimum.reduceat(rank.astype(np.int64) << 32 | np.arange(len(rank)), starts)
+            some = best < self.none << 32
+            best = best[some]
+            at, keep = best & 0xFFFFFFFF, np.repeat(some, np.diff(starts, append=len(owner)))
+            if not some.all():
+                done.append((owner[~keep], symbol[~keep]))
+            symbol[at] = self.made[best >> 32]
+            final[at] = final[at + 1]
+            keep[at + 1] = False
+            symbol, owner, rank, final, at = symbol[keep], owner[keep], rank[keep], final[keep], (np.cumsum(keep) - 1)[at]
+            for k in (at, at[at > 0] - 1):
+                k = k[~final[k]]
+                rank[k] = self._rank(symbol[k], symbol[k + 1])
+            rank[final] = self.none
+        owner = np.concatenate([np.zeros(0, np.int32), *(d[0] for d in done)])
+        ids = np.concatenate([np.zeros(0, np.int32), *(d[1] for d in done)])[np.argsort(owner, kind="stable")]
+        return ids.astype(np.uint32), np.bincount(owner, minlength=len(size))
+
+
+#: Kinds of characters.
+GAP, LETTER, NUMBER, OTHER, STRANGE = range(5)
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """The kind and the lower case of each character up to the end of the Latin ones, and of one more that stands for the rest.
+
+    Strange are those that normalisation changes in other ways, and the apostrophe, which the pattern treats by what follows.
+    """
+    kind, low = np.full(LATIN + 1, STRANGE, np.uint8), np.arange(LATIN + 1)
+    for c in [*range(0x21, 0x7F), *range(0xA1, LATIN)]:
+        x = chr(c)
+        if unicodedata.normalize("NFC", x) == x and len(x.lower()) == 1 and ord(x.lower()) < LATIN and x != "'":
+            kind[c] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(x)[0], OTHER)
+            low[c] = ord(x.lower())
+    kind[0xAD], kind[0x20] = STRANGE, GAP
+    return kind, low
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer whose pieces never cross white space; words are encoded once and kept.
 
-    A word of plain Latin characters is lower-cased and split by the file's own pattern here, and its
-    parts go to the file's model; any other word goes through the whole tokenizer, which is slower.
+    The words that a batch of texts has and that aren't kept are encoded together: those of plain Latin characters are lower-cased, split
+    where the file's pattern does and merged here, part by part; any other word goes through the file's own tokenizer, which is slower.
+    What is kept has two halves: a full newer one becomes the older, from which words in use come back.
     """
 
+    #: The pattern that is split by here.
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
     def __init__(self, json_text: str, cached: int = CACHED) -> None:
         from tokenizers import Tokenizer
 
@@ -70,32 +140,79 @@ class WordTokenizer:
         told = json.loads(json_text)
         steps = [x.get("type") for x in (told["normalizer"] or {}).get("normalizers", [])]
         split = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.pattern = None
-        if steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"]:
-            self.pattern = regex.compile(split[0]["pattern"]["Regex"])
+        known = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and split[0]["pattern"].get("Regex") == self.PATTERN
         # A byte-level model names each byte by a printable character: itself, or those from 256 on in order.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        self.tokenize = self.encoder.model.tokenize
-        self.parts = Kept(self._part, cached)
-        self.words = Kept(self._word, cached)
-
-    def _part(self, part: str) -> bytes:
-        if not part.isascii():
-            part = part.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenize(part)]).tobytes()
+        letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.merges = Merges.of(told["model"], letters) if known else None
+        self.most = cached
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _slowly(self, words: list[bytes]) -> None:
+        for word in words:
+            self.words[word] = np.array(self.encoder.encode(word.decode(errors="replace"), add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Keeps the ids of the words, none of which is kept."""
+        if not self.merges or not words:
+            self._slowly(words)
+            return
+        kinds, lows = _characters()
+        text = np.frombuffer(b" ".join(words).decode(errors="replace").encode("utf-32-le"), np.uint32)
+        text = np.minimum(text, LATIN)
+        kind = kinds[text]
+        word = np.cumsum(kind == GAP)
+        odd = np.zeros(len(words), bool)
+        odd[word[kind == STRANGE]] = True
+        odd[word[1:][(text[1:] == ord("|")) & (text[:-1] == ord("<"))]] = True
+        good = (kind != GAP) & ~odd[word]
+        text, kind, word = lows[text[good]].astype(np.uint16), kind[good], word[good]
+        first = np.ones(len(text), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (word[1:] != word[:-1]) | (kind[1:] == NUMBER)
+        starts, width = np.flatnonzero(first), 1 + (text > 127)
+        data = np.frombuffer(text.tobytes().decode("utf-16-le").encode(), np.uint8)
+        ids, n = self.merges.encode(data, np.add.reduceat(width, starts) if len(starts) else starts)
+        stops = (4 * np.cumsum(np.bincount(word[starts], weights=n, minlength=len(words)).astype(np.int64))).tolist()
+        raw = ids.tobytes()
+        self.words.update(zip(words, [raw[s:e] for s, e in zip([0, *stops], stops, strict=False)], strict=True))
+        self._slowly([words[k] for k in np.flatnonzero(odd)])
+
+    def learn(self, words: set[bytes]) -> None:
+        """Keeps all of the words, if they aren't yet."""
+        if len(self.words) >= self.most:
+            self.words, self.older = {}, self.words
+        new = words.difference(self.words)
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.words.update(again)
+        self._encode(list(new.difference(again)))
+
+    def each(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text, END_ID last.  A long text is encoded piece after piece."""
+        if sum(map(len, texts)) <= 2 * CHUNK_BYTES:
+            cut = [text.split() for text in texts]
+            self.learn(set().union(*cut))
+            for words in cut:
+                yield b"".join(map(self.words.__getitem__, words)) + END
+            return
+        for text in texts:
+            found = []
+            for piece in split_at_spaces(text):
+                words = piece.split()
+                self.learn(set(words))
+                found.append(b"".join(map(self.words.__getitem__, words)))
+            yield b"".join(found) + END
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode(errors="replace")
-        if self.pattern and text.isascii() and text.isalpha():
-            return self.parts[text.lower()]
-        if self.pattern and SIMPLE.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.parts.__getitem__, self.pattern.findall(text.lower())))
-        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids of a text, END_ID last."""
-        return b"".join(map(self.words.__getitem__, text.split())) + END
+def split_at_spaces(text: bytes, most: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """The text in pieces of about `most` bytes that don't cut words."""
+    at = 0
+    while len(text) - at > most:
+        space = SPACE.search(text, at + most)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
 
 
 def cuts_of(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[list[int], list[int]]:
@@ -231,9 +348,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, cached: int
         for b in text_chunks(batches):
             data, at = utf8(b.column("text"))
             raw = data.tobytes()
+            texts = [raw[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             found = []
-            for doc_id, s, e in zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                found += packer.add(doc_id, tokenizer.ids(raw[s:e]))
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokenizer.each(texts), strict=True):
+                found += packer.add(doc_id, ids)
             if found:
                 yield rows(found)
         yield rows(list(packer.pack(True)))

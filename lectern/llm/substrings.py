@@ -31,50 +31,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.shipping import map_arrow
-from lectern.llm.common import checkpoint, entries, partitions, remove, scratch, text_chunks, utf8, word_bounds
+from lectern.llm.common import checkpoint, entries, mixed, partitions, remove, scratch, text_chunks, utf8, word_bounds, word_codes
 
 WINDOW, GRAM, FANOUT, BATCHES = 50, 10, 2, 3
 #: Words of a posting's context, at most: longer runs of one context are several rows.
 LONGEST = 60000
 M = (1 << 64) - 1
-#: Bytes of a word that are kept as they are.
-PLAIN = 15
-
-
-def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A hash of pairs of numbers."""
-    z = x * np.uint64(0x9E3779B97F4A7C15) + (y ^ y >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    z ^= z >> np.uint64(32)
-    z *= np.uint64(0xD6E8FEB86659FD93)
-    z ^= z >> np.uint64(29)
-    return z
-
-
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-
-
-def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Two numbers for each word: its bytes and length, or 128 bits of BLAKE2b of a word of more than PLAIN bytes."""
-    size = ends - starts
-    room = np.concatenate([data, np.zeros(16, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(room, 8)
-    codes = np.empty((len(starts), 2), np.uint64)
-    codes[:, 0] = np.ascontiguousarray(eight[starts]).view(np.uint64)[:, 0] & _MASKS[np.minimum(size, 8)]
-    codes[:, 1] = np.ascontiguousarray(eight[starts + 8]).view(np.uint64)[:, 0] & _MASKS[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
-    long = np.flatnonzero(size > PLAIN)
-    if len(long):
-        raw = data.tobytes()
-        found = b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
-        codes[long] = np.frombuffer(found, np.uint64).reshape(-1, 2)
-    return codes
 
 
 def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n neighbouring words, by doubling."""
-    h, have = _mixed(codes[:, 0], codes[:, 1]), 1
+    h, have = mixed(codes[:, 0], codes[:, 1]), 1
     while 2 * have <= n:
-        h, have = _mixed(h[:-have], h[have:]), 2 * have
-    return _mixed(h[: len(h) - (n - have)], h[n - have :])
+        h, have = mixed(h[:-have], h[have:]), 2 * have
+    return mixed(h[: len(h) - (n - have)], h[n - have :])
 
 
 def _digests(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> bytes:
@@ -124,7 +94,7 @@ def postings_of(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.
         less = near[q[:, None] + span + steps] < g[q][:, None]
         b[k : k + len(q)] = q + np.where(less.any(1), less.argmax(1), span - 1) - span + 1
     a, b = np.maximum(a, first[doc[p]]), np.minimum(np.minimum(b, p), stop[p] - window)
-    c = _mixed(np.frombuffer(_digests(codes, a, b + window, 8), np.uint64), (p - a).astype(np.uint64))
+    c = mixed(np.frombuffer(_digests(codes, a, b + window, 8), np.uint64), (p - a).astype(np.uint64))
     # Monotonous text repeats a context at overlapping places: these are one posting, as what holds for one holds for all.
     d, f, a, b = doc[p], g[p], a - first[doc[p]], b + window - first[doc[p]]
     new = np.ones(len(p), bool)

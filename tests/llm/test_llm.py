@@ -307,6 +307,22 @@ def test_packing_covers_every_id(spark):
         assert padding <= 0.06 * sum(r.length for r in found)
 
 
+def test_ids_are_the_tokenizers():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    slow, random_ = Tokenizer.from_file(path), random.Random(13)
+    with open(path, encoding="utf-8") as f:
+        fast = packing.WordTokenizer(f.read(), cached=300)
+    alphabet = "aabcdeeXYZ019'.,!?-|<>~éÉßÿŁłŒµªº²¼×÷¡¿ǅȺİıſΣς\u00ad\u0301\u00a0\x1c\x85日😀" + "  \n"
+    texts = ["".join(random_.choice(alphabet[: random_.choice([12, 30, len(alphabet)])] + " ") for _ in range(random_.randint(0, 400))) for _ in range(150)]
+    texts += ["", "don't I'LL we're 's''s 'Tis", "x<|endoftext|>y <| |>", "a" * 3000, "é" * 700 + " a"]
+    want = [np.array([*slow.encode(t, add_special_tokens=False).ids, 2], np.uint32).tobytes() for t in texts]
+    assert list(fast.each([t.encode() for t in texts])) == want
+    long = (" ".join(texts[:150]) + " ") * 60
+    pieces = list(packing.split_at_spaces(long.encode(), 1000))
+    assert b"".join(pieces) == long.encode() and max(map(len, pieces)) < 2000
+    assert list(fast.each([long.encode()]))[0] == np.array([*slow.encode(long, add_special_tokens=False).ids, 2], np.uint32).tobytes()
+
+
 def test_best_cuts_are_best():
     random.seed(7)
     for _ in range(60):
