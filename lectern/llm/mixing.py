@@ -3,10 +3,10 @@
 The words of each source, document after document, are one stream cut into blocks of `BLOCK` words (the last one may
 be shorter).  Targets are shares of the mix by weight, level at `MOST` times what a source has.  An epoch of a
 source takes every block once; the last epoch takes blocks in the order of a pseudorandom permutation of
-the block indices until the target is met to the word.  Each slot goes to an output shard by a seeded draw, so that the
-shards' source counts are multinomial given the totals, which keeps each source at its target.  Slots meet blocks
-by (source, index).  Everything is DataFrame functions; streams are numbered with two-level prefix sums, so
-that no source has to fit into one task.
+the block indices until the target is met to the word.  How many blocks of each source an output shard has is a seeded
+multinomial draw, given the sources' totals, which keeps each source at its target; a shard's slots follow from the draws
+before it.  Slots meet blocks by (source, index).  Everything is DataFrame functions; streams and draws are numbered with two-level
+prefix sums, so that no source has to fit into one task.  Only the table of sources, a row each, is ordered in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpoint, n_words, words, written
+from lectern.llm.common import checkpoint, n_words, partitions, words, written
 
 BLOCK, SHARE, MOST, WEIGHTS = 256, 1.5, 2, (3, 1, 2)
 #: Rounds of the permutation of block indices.
@@ -74,34 +74,58 @@ def plan(sizes: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
     return t.withColumn("rest_slots", F.when(slots <= F.col("short_at"), slots).otherwise(F.expr(f"(rest + {block} - short + {block - 1}) div {block}")))
 
 
-def slots(planned: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix, a row for each slot: sid, epoch, slot, index (of the block), words (taken from its start), turn (slot over all epochs), shard.
+def _before(rows: DataFrame, key: str, part: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with name: the sum of value over the rows of the same key that come before, first by part, then by order."""
+    rows = rows.withColumn("part", part)
+    sums = rows.groupBy(key, "part").agg(F.sum(value).alias("held"))
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(key, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(sums, [key, "part"]).withColumn(name, F.col(name) + F.col("base")).drop("part", "base")
+
+
+def draws(planned: DataFrame) -> DataFrame:
+    """planned's columns, shard, n, begin: how many slots of a source each output shard has, and how many those before it have.
 
-    Ranges of slots are dealt out before they are written out, so that a large source is many tasks' work.
+    Every slot of a source draws its shard, so that counts are multinomial given the source's slots.  Slots are dealt out in ranges before they are
+    written out, so that a large source is many tasks' work, and counted before anything is shuffled.
     """
     each = planned.withColumn("slots_in_all", F.expr("epochs * blocks + rest_slots")).where("slots_in_all > 0")
     each = each.withColumn("shards", F.ceil(F.sum("slots_in_all").over(Window.partitionBy()) / SHARD_BLOCKS))
-    ranges = each.withColumn("range", F.explode(F.expr(f"sequence(0L, (slots_in_all - 1) div {SHARD_BLOCKS})")))
-    ranges = ranges.repartition("sid", "range")
-    every = ranges.withColumn("all", F.explode(F.expr(f"sequence(range * {SHARD_BLOCKS}, least((range + 1) * {SHARD_BLOCKS}, slots_in_all) - 1)")))
-    every = every.withColumns({"epoch": F.expr("all div blocks"), "slot": F.expr("all % blocks")})
+    ranges = each.select("sid", "slots_in_all", "shards", F.explode(F.expr(f"sequence(0L, (slots_in_all - 1) div {SHARD_BLOCKS})")).alias("range")).repartition(partitions(planned.sparkSession))
+    every = ranges.select("sid", "shards", F.explode(F.expr(f"sequence(range * {SHARD_BLOCKS}, least((range + 1) * {SHARD_BLOCKS}, slots_in_all) - 1)")).alias("draw"))
+    counts = every.groupBy("sid", F.pmod(F.xxhash64(F.lit(SEED), "sid", "draw"), F.col("shards")).alias("shard")).agg(F.count("*").alias("n"))
+    return _before(counts, "sid", F.expr(f"shard div {PARTS}"), ["shard"], "n", "begin").join(planned, "sid")
+
+
+def slots(planned: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix, a row for each slot: sid, epoch, slot, index (of the block), words (taken from its start), turn (slot over all epochs), shard."""
+    # AQE would put the few rows of the draws into one task, which then wrote all slots out.
+    every = draws(planned).repartition(partitions(planned.sparkSession)).withColumn("turn", F.explode(F.expr("sequence(begin, begin + n - 1)")))
+    every = every.withColumns({"epoch": F.expr("turn div blocks"), "slot": F.expr("turn % blocks")})
     every = every.withColumn("index", _permuted(F.col("slot"), F.col("blocks"), F.xxhash64(F.lit(SEED), "sid")))
     length = F.expr(f"if(index = blocks - 1, short, {block})")
     left = F.expr(f"rest - (slot * {block} - if(slot > short_at, {block} - short, 0))")
     taken = F.when(F.col("epoch") < F.col("epochs"), length).otherwise(F.greatest(F.lit(0), F.least(left, length)))
-    shard = F.pmod(F.xxhash64(F.lit(SEED), "sid", "all"), F.col("shards"))
-    return every.select("sid", "epoch", "slot", "index", taken.cast("long").alias("words"), F.col("all").alias("turn"), shard.alias("shard"))
+    return every.select("sid", "epoch", "slot", "index", taken.cast("long").alias("words"), "turn", "shard")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """docs (doc_id, sid, size, rid, more) with begin: the words of the same source before the document."""
-    rows = docs.withColumn("part", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(PARTS)))
-    sums = rows.groupBy("sid", "part").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("sid", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "part").orderBy("doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("begin", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return rows.join(sums, ["sid", "part"]).withColumn("begin", F.col("begin") + F.col("base")).drop("part", "base")
+    return _before(docs, "sid", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(PARTS)), ["doc_id", "size", "rid"], "size", "begin")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text, size, rid, and row: all columns but text, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    return docs.select("doc_id", "source", F.col("text").alias("text"), n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("rid"), row)
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    """docs' columns out of row and text; n_chars, if there, follows the text."""
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    return [F.col("text") if c == "text" else F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
 
 
 def _taken(marked: DataFrame, planned: DataFrame, block: int) -> DataFrame:
@@ -135,10 +159,10 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
     """The mix as rows of docs' columns: for each epoch the part of a document that it takes.
 
     A document that an epoch takes whole keeps its text; else its text is the taken words, joined by one space.  n_chars,
-    if there, follows the text.  Documents that no slot takes are left out, those without words too.
+    if there, follows the text.  Documents that no slot takes are left out, those without words too.  All other columns pass through,
+    whatever their names; rows that repeat are documents of their own, and an empty table gives an empty one.
     """
-    names = docs.columns
-    marked = written(docs.withColumns({"size": n_words(F.col("text")), "rid": F.monotonically_increasing_id()}), "mix")
+    marked = written(_marked(docs), "mix")
     sizes = marked.select("doc_id", "source", "size", "rid")
     planned = checkpoint(plan(sizes, block, **rule))
     taken = _taken(sizes, planned, block).groupBy("rid", "epoch").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"), F.sum(F.col("high") - F.col("low")).alias("n"))
@@ -146,19 +170,16 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
     rows = marked.join(copies.hint("shuffle_hash"), "rid").withColumn("copy", F.explode("copies"))
     part = F.array_join(F.flatten(F.transform(F.col("copy.spans"), lambda s: F.slice(words(F.col("text")), (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " ")
     rows = rows.withColumn("text", F.when(F.col("copy.n") == F.col("size"), F.col("text")).otherwise(part))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    return rows.select(*_own(docs))
 
 
 def mixed_shards(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
-    """The mix in its shards: shard, place (1, 2, 3, ... in the shard), then docs' columns; a row for what a slot takes of a document.
+    """The mix in its shards: shard, place (1, 2, 3, ... in the shard), then docs' other columns; a row for what a slot takes of a document.
 
     A shard's slots are in a seeded order, whatever their source; the pieces of a slot follow each other as in its block.  A piece
     that is a whole document keeps its text, else the words are joined by one space.  n_chars, if there, follows the text.
     """
-    names = docs.columns
-    marked = written(docs.withColumns({"size": n_words(F.col("text")), "rid": F.monotonically_increasing_id()}), "mix")
+    marked = written(_marked(docs), "mix")
     sizes = marked.select("doc_id", "source", "size", "rid")
     planned = checkpoint(plan(sizes, block, **rule))
     # Places are dealt to the pieces before they meet their texts, which so move once.
@@ -174,8 +195,6 @@ def mixed_shards(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
 
         return F.transform("pieces", piece)
 
-    rows = rows.withColumn("piece", F.explode(F.flatten(F.transform(F.array(words(F.col("text"))), cut))))
-    rows = rows.select("piece.shard", "piece.place", *[F.col("piece.text").alias(n) if n == "text" else F.col(n) for n in names])
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select("shard", "place", *names)
+    rows = rows.select("row", F.explode(F.flatten(F.transform(F.array(words(F.col("text"))), cut))).alias("piece"))
+    rows = rows.select("row", "piece.text", F.col("piece.shard").alias("its_shard"), F.col("piece.place").alias("its_place"))
+    return rows.select(F.col("its_shard").alias("shard"), F.col("its_place").alias("place"), *[c for c, n in zip(_own(docs), docs.columns, strict=True) if n not in ("shard", "place")])

@@ -394,6 +394,57 @@ def test_mixing(spark):
     assert words.to_dict() == {i: t for i, t in zip(found.doc_id, found.taken, strict=True) if t}
 
 
+def words_taken(spark, rows, block):
+    """doc_id and taken by loops, from the plan and the permutation alone."""
+    sizes = {}
+    for i, s, n in rows:
+        sizes.setdefault(s, []).append((i, n))
+    frame = spark.createDataFrame([(i, s, n, i) for i, s, n in rows], "doc_id long, source string, size long, rid long")
+    planned = mixing.plan(frame, block).collect()
+    order = {r.doc_id: r.begin for r in mixing.numbered(frame.join(spark.createDataFrame([(p.sid, p.source) for p in planned], "sid long, source string"), "source")).collect()}
+    taken = dict.fromkeys((i for i, _, _ in rows), 0)
+    for p in planned:
+        stream = [i for i, n in sorted(sizes[p.source], key=lambda x: order[x[0]]) for _ in range(n)]
+        assert len(stream) == p.source_size
+        slots = spark.range(p.blocks).select(mixing._permuted(F.col("id"), F.lit(p.blocks), F.xxhash64(F.lit(mixing.SEED), F.lit(p.sid).cast("long"))).alias("at"), "id").orderBy("id").collect()
+        todo = p.words
+        while todo > 0:
+            for r in slots:
+                for i in stream[r["at"] * block : (r["at"] + 1) * block][: max(0, todo)]:
+                    taken[i] += 1
+                    todo -= 1
+    return taken
+
+
+def test_taken_by_loops(spark):
+    random.seed(14)
+    rows = [(i, random.choice("abc"), random.randint(0, 40)) for i in range(60)]
+    docs = spark.createDataFrame([(i, s, " ".join("w" * n)) for i, s, n in rows], "doc_id long, source string, text string")
+    assert {r.doc_id: r.taken for r in mixing.mix(docs, block=8).collect()} == words_taken(spark, rows, 8)
+
+
+def test_draws(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 50)
+    planned = mixing.plan(spark.createDataFrame([("a", 40_000), ("b", 9000)], "source string, size long"), block=8)
+    found = mixing.draws(planned).toPandas()
+    shards = -(-int(found.n.sum()) // 50)
+    assert found.shard.max() < shards and found.groupby("sid").size().max() > 0.9 * shards
+    for _, rows in found.groupby("sid"):
+        rows = rows.sort_values("shard")
+        assert rows.begin.tolist() == [0, *rows.n.cumsum().tolist()[:-1]]
+        mean = rows.n.sum() / shards
+        # A multinomial count varies about as much as its mean.
+        assert 0.4 * mean < rows.n.var() < 2 * mean
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(i, "s", "a b c") for i in range(20)], "doc_id long, source string, text string").withColumns({n: F.lit(777) for n in ("size", "rid", "row", "place", "epoch", "sid", "a.b")})
+    found = mixing.mixed_documents(rows).collect()
+    assert found and all(r[n] == 777 for r in found for n in rows.columns[3:])
+    found = mixing.mixed_shards(rows).collect()
+    assert found and all(r["size"] == r["rid"] == 777 and r["place"] != 777 for r in found)
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select("id", mixing._permuted(F.col("id"), F.lit(n), F.lit(5).cast("long")).alias("p")).withColumn("back", mixing._permuted(F.col("p"), F.lit(n), F.lit(5).cast("long"), inverse=True)).collect()
