@@ -95,16 +95,21 @@ class _Renderer(HTMLParser):
         (self.heading[1] if self.heading else self.out).append(data)
 
 
+#: White space within lines, at their ends, a bar that ends a table's row, and empty lines.
+_TIDY = [(re.compile(p, re.M), told) for p, told in ((r"[^\S\n]+", " "), (r"^ | $", ""), (r" \|$", ""), (r"\n{3,}", "\n\n"))]
+
+
 def to_text(html: str | None) -> tuple[str | None, str]:
     """Title (title tag, else first h1) and text of the first of main, article, body or the page."""
     page = _Renderer()
     page.feed(html or "")
     page.close()
     start, end = next((page.roots[r] for r in ROOTS if r in page.roots), [0, -1])
-    lines = [" ".join(line.split()) for line in "".join(page.out[start : end if end >= 0 else None]).split("\n")]
-    lines = [line[:-2] if line.endswith(" |") else line for line in lines]
+    text = "".join(page.out[start : end if end >= 0 else None])
+    for pattern, told in _TIDY:
+        text = pattern.sub(told, text)
     title = " ".join("".join(page.title or []).split()) or page.h1
-    return title, re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    return title, text.strip()
 
 
 def rendered(rows: DataFrame, column: str = "html") -> DataFrame:

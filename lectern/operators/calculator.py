@@ -1,11 +1,13 @@
-"""Arithmetic on numbers alone: + - * / ** %, signs and brackets, within bounds."""
+"""Arithmetic on numbers alone: + - * / ** %, signs and brackets, within bounds.
+
+Expressions are read by binding powers, a token at a time, and worked out as they are read.
+"""
 
 from __future__ import annotations
 
-import ast
 import math
-from collections.abc import Iterator
-from operator import add, mod, mul, neg, pos, sub, truediv
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,53 +15,94 @@ from pyspark.sql import types as T
 
 from lectern.functions.shipping import map_arrow
 
-MOST_CHARS, MOST_EXPONENT, MOST_BITS = 500, 4096, 65_536
-_TWO = {ast.Add: add, ast.Sub: sub, ast.Mult: mul, ast.Div: truediv, ast.Mod: mod}
-_ONE = {ast.UAdd: pos, ast.USub: neg}
+MOST_CHARS, MOST_EXPONENT, MOST_BITS, MOST_DEPTH = 500, 4096, 65_536, 90
+_TOKEN = re.compile(r"\s*(?:(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<sign>\*\*|[-+*/%()]))")
+#: Binding power to the left and to the right: a power binds tighter than a sign before it, and to the right first.
+_BINDING = {"+": (1, 2), "-": (1, 2), "*": (3, 4), "/": (3, 4), "%": (3, 4), "**": (8, 7)}
+_SIGNED = 6
+Number = int | float
 
 
 class Refused(ValueError):
     """An expression that isn't evaluated."""
 
 
-def _power(a: float, b: float) -> float:
+def _raised(a: Number, b: Number) -> Number:
     if abs(b) > MOST_EXPONENT:
         raise Refused("exponent out of range")
-    if isinstance(a, int) and isinstance(b, int) and b > 0 and abs(a).bit_length() * b > MOST_BITS:
+    # Bits are counted before the power is taken.
+    if isinstance(a, int) and isinstance(b, int) and b > 0 and a.bit_length() * b > MOST_BITS:
         raise Refused("too large")
     return a**b
 
 
-def _value(node: ast.AST) -> float:
-    match node:
-        case ast.Constant(value=int() | float() as v) if not isinstance(v, bool):
-            found = v
-        case ast.UnaryOp(op=op, operand=x) if type(op) in _ONE:
-            found = _ONE[type(op)](_value(x))
-        case ast.BinOp(left=a, op=ast.Pow(), right=b):
-            found = _power(_value(a), _value(b))
-        case ast.BinOp(left=a, op=op, right=b) if type(op) in _TWO:
-            found = _TWO[type(op)](_value(a), _value(b))
-        case _:
-            raise Refused("only numbers and + - * / ** %")
-    if isinstance(found, complex) or (isinstance(found, float) and not math.isfinite(found)):
+_OPERATION: dict[str, Callable[[Number, Number], Number]] = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b, "%": lambda a, b: a % b, "**": _raised}
+
+
+def _bounded(x: Number) -> Number:
+    if isinstance(x, int):
+        if x.bit_length() > MOST_BITS:
+            raise Refused("too large")
+    elif isinstance(x, complex) or not math.isfinite(x):
         raise Refused("not a finite real number")
-    if isinstance(found, int) and found.bit_length() > MOST_BITS:
-        raise Refused("too large")
+    return x
+
+
+def _tokens(expression: str) -> list[str]:
+    found, at, end = [], 0, len(expression.rstrip())
+    while at < end:
+        m = _TOKEN.match(expression, at)
+        if not m:
+            raise Refused("only numbers and + - * / ** %")
+        found.append(m["number"] or m["sign"])
+        at = m.end()
     return found
 
 
-def calculate(expression: str) -> float:
+class _Reader:
+    def __init__(self, tokens: list[str]) -> None:
+        self.left, self.depth = tokens[::-1], 0
+
+    def operand(self) -> Number:
+        token = self.left.pop() if self.left else ""
+        if token in ("+", "-"):
+            x = self.value(_SIGNED)
+            return x if token == "+" else -x
+        if token == "(":
+            x = self.value(0)
+            if not self.left or self.left.pop() != ")":
+                raise Refused("not an expression")
+            return x
+        if not token or token in _BINDING or token == ")" or re.fullmatch(r"0\d*[1-9]\d*", token):
+            raise Refused("not an expression")
+        return _bounded(int(token) if token.isdigit() else float(token))
+
+    def value(self, least: int) -> Number:
+        """The value of what follows, up to an operator that binds less than least."""
+        self.depth += 1
+        if self.depth > MOST_DEPTH:
+            raise Refused("nested too deeply")
+        x = self.operand()
+        while self.left and self.left[-1] in _BINDING and _BINDING[self.left[-1]][0] >= least:
+            sign = self.left.pop()
+            x = _bounded(_OPERATION[sign](x, self.value(_BINDING[sign][1])))
+        self.depth -= 1
+        return x
+
+
+def calculate(expression: str) -> Number:
     if len(expression) > MOST_CHARS:
         raise Refused("too long")
+    reader = _Reader(_tokens(expression))
     try:
-        return _value(ast.parse(expression.strip(), mode="eval").body)
-    except SyntaxError as e:
-        raise Refused("not an expression") from e
+        found = reader.value(0)
     except ZeroDivisionError as e:
         raise Refused("division by zero") from e
     except OverflowError as e:
         raise Refused("too large") from e
+    if reader.left:
+        raise Refused("not an expression")
+    return found
 
 
 def told(expression: str | None) -> tuple[str | None, str | None]:

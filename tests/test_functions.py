@@ -239,6 +239,41 @@ def test_schema_problems():
     assert jsons.problems({"a": True}, schema) and jsons.problems([], schema) and jsons.problems({}, schema)
 
 
+def test_schema_problems_of_columns_are_those_of_values(spark):
+    import json
+
+    from lectern.functions import jsons
+
+    schema = {"type": "object", "required": ["a", "z"], "properties": {"a": {"type": ["integer", "null"], "minimum": 1, "maximum": 9}, "b": {"enum": ["x", 2, None, True]}, "c": {"type": "array", "items": {"type": "object", "properties": {"d": {"type": "number"}}}}, "z": {"type": "string"}}, "additionalProperties": False}
+    said = ['{"a": 1, "z": "q"}', '{"a": 0, "b": "y", "c": [{"d": 1}, {"d": "1"}, 3], "q": 1}', '{"a": 2.0, "b": 2, "z": ""}', '{"a": 2.5, "b": null, "z": null}', '{"a": null, "b": true, "z": "x"}', '{"a": true, "b": false}', "[]", "3", "null", '"x"', '{"a": 10, "z": "1", "c": {}}']
+    rows = jsons.validated(spark.createDataFrame([(i, t) for i, t in enumerate([*said, "{", None, '```json\n{"a": 1, "z": ""}\n```'])], "id long, t string"), "t", schema).orderBy("id").collect()
+    assert [sorted(r.problems) for r in rows[: len(said)]] == [sorted(jsons.problems(json.loads(t), schema)) for t in said]
+    assert [r.problems for r in rows[len(said) :]] == [["$: not JSON"], ["$: not JSON"], []]
+
+
+def test_calculator_reads_like_python():
+    random.seed(2)
+    for _ in range(400):
+        said = "".join(random.choice(["1", "2.5", "0", "-", "+", "*", "/", "%", "**", "(", ")", " ", "3e1", "12"]) for _ in range(random.randint(1, 9)))
+        try:
+            want = eval(said, {"__builtins__": {}}) if "//" not in said else None  # noqa: S307
+        except (SyntaxError, TypeError, ZeroDivisionError, OverflowError):
+            want = None
+        try:
+            found = calculator.calculate(said)
+        except calculator.Refused:
+            found = None
+        if not isinstance(want, int | float) or abs(want) == float("inf"):
+            want = None
+        assert found == want, said
+
+
+def test_pages_share_headings(spark):
+    rows = [(1, 2, "more"), (1, 1, "# A\none\n# B"), (2, 1, None), (1, 3, "# C\nend")]
+    found = chunker.chunked_pages(spark.createDataFrame(rows, "doc_id long, page int, text string")).orderBy("doc_id", "ordinal").collect()
+    assert [(r.doc_id, r.ordinal, r.heading, r.page, r.text) for r in found] == [(1, 0, "A", 1, "one"), (1, 1, "B", 2, "more"), (1, 2, "C", 3, "end")]
+
+
 def test_agent_keeps_to_policy():
     from lectern.operators import answer
 
