@@ -72,6 +72,12 @@ def merged_judges(rows: DataFrame, item: str, judge: str, scores: list[str]) ->
     return rows.groupBy(item).agg(*(_mean(s).alias(s) for s in scores), first.alias("reason"), F.sum("tokens").alias("tokens"))
 
 
+def sampled(chunks: DataFrame, n: int, seed: int = 7, key: str = "doc_id", column: str = "text", least: int = 40) -> DataFrame:
+    """n chunks for drafts of golden items, the same for a seed: out of quarantine, with more than `least` characters."""
+    rows = chunks.where(~F.col("quarantined") & (F.length(F.trim(column)) > least))
+    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
 def problems(golden: DataFrame, order: str) -> DataFrame:
     """golden with problems: what keeps an item from being run."""
     again = F.row_number().over(Window.partitionBy("id").orderBy(order)) > 1

@@ -106,8 +106,19 @@ def export(ledger: DataFrame, path: str) -> None:
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger of an export, and `line` with its text for lines that aren't a row."""
+    """The ledger of an export with `line`, its number in its file, and `unreadable`, the text of a line that isn't a row (else null)."""
     fields = "seq long, kind string, request_id string, payload string, prev_hash string, hash string"
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^\\x{FEFF}", "").alias("line")).where(F.trim("line") != "")
-    parsed = lines.withColumn("r", F.from_json("line", fields))
-    return parsed.select("r.*", F.when(F.col("r.hash").isNull(), F.col("line")).alias("unreadable"))
+    files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "^\\x{FEFF}", ""), "\r?\n").alias("lines"))
+    lines = files.select(F.posexplode("lines").alias("at", "text")).where(F.trim("text") != "")
+    parsed = lines.withColumn("r", F.from_json("text", fields))
+    return parsed.select("r.*", (F.col("at") + 1).alias("line"), F.when(F.col("r.hash").isNull(), F.col("text")).alias("unreadable"))
+
+
+def verdict(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Exit code (0 sound, 1 broken, 2 unreadable) and a sentence for an exported ledger."""
+    rows = read_export(spark, path)
+    bad = rows.where("unreadable is not null").agg(F.min("line")).first()[0]
+    if bad is not None:
+        return 2, f"line {bad}: unreadable"
+    found = verify(rows.drop("line", "unreadable")).first()
+    return (0, f"{found.checked} rows are sound") if found.ok else (1, f"row {found.first_bad_seq}: {found.reason}")

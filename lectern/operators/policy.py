@@ -49,3 +49,15 @@ def released(chunks: DataFrame, ids: list[int], key: str = "chunk_id") -> DataFr
 def retagged(rows: DataFrame, changes: DataFrame, key: str = "document_id") -> DataFrame:
     """rows with acl_tags replaced where changes (key, new_tags) has their document."""
     return rows.join(changes, key, "left").withColumn("acl_tags", F.coalesce("new_tags", "acl_tags")).drop("new_tags")
+
+
+def trail(requests: DataFrame, ledger: DataFrame, approvals: DataFrame) -> DataFrame:
+    """request_id, origin (ledger or approval), seq, kind of everything that the ledger (request_id, seq, kind) and the approvals (request_id, approval_id, status) hold of the requests (request_id)."""
+    rows = ledger.select("request_id", F.lit("ledger").alias("origin"), F.col("seq").cast("long").alias("seq"), "kind")
+    rows = rows.union(approvals.select("request_id", F.lit("approval"), F.col("approval_id").cast("long"), "status"))
+    return rows.join(requests.select("request_id").distinct(), "request_id")
+
+
+def recorded(changed: DataFrame, kind: str, key: str, detail: list[str]) -> DataFrame:
+    """kind, request_id, payload: the ledger entries of rows that an administrator changed, in no order yet."""
+    return changed.select(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("request_id"), F.to_json(F.struct(*sorted({key, *detail}))).alias("payload"))

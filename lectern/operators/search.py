@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text
+from lectern.functions.folders import checkpoint
 from lectern.functions.shipping import map_arrow
 from lectern.operators.acl import may_see
 
@@ -47,18 +49,43 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, key: str
     """
     asked = questions.select("query_id", "user_tags", F.explode(text.question_tokens(F.col("text"))).alias("term")).groupBy("query_id", "user_tags", "term").agg(F.count("*").alias("reps"))
     terms = [r[0] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-    cut = chunks.select(key, "acl_tags", "quarantined", text.tokens(F.col("text")).alias("tokens"))
+    cut = chunks.select(key, text.tokens(F.col("text")).alias("tokens"))
     known = F.col("tokens") if len(terms) > MOST_TERMS else F.filter("tokens", lambda t: t.isin(terms) if terms else F.lit(False))
-    base = cut.select(key, "acl_tags", "quarantined", F.size("tokens").alias("dl"), known.alias("known"))
-    held = base.select(key, F.explode("known").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
-    sized = base.select(key, "acl_tags", "quarantined", "dl")
-    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # Texts are cut into tokens once: what is kept are the asked tokens, and a row with an empty one for every chunk.
+    rows = cut.select(key, F.size("tokens").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), known)).alias("term"))
+    held = checkpoint(rows.groupBy("term", key).agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))
+    total = held.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    held = held.where("term <> ''")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    hits = held.join(df, "term").join(asked, "term").join(sized, key).where(may_see(F.col("acl_tags"), F.col("user_tags"), F.col("quarantined"))).crossJoin(F.broadcast(total))
+    allowed = chunks.select(key, "acl_tags", "quarantined")
+    hits = held.join(df, "term").join(asked, "term").join(allowed, key).where(may_see(F.col("acl_tags"), F.col("user_tags"), F.col("quarantined"))).crossJoin(F.broadcast(total))
     one = F.col("reps") * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return ranked(hits.groupBy("query_id", key).agg(F.round(F.sum(one), DIGITS).alias("score")), k, key)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1)
+
+
+def _best(score: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row by score, then smaller key."""
+    if score.shape[1] > 4 * k:
+        # All that tie with the k-th stay, for the keys to decide.
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        some = (score >= least).any(axis=0)
+        score, keys = score[:, some], keys[:, some]
+    order = np.lexsort((keys, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, axis=1), np.take_along_axis(keys, order, axis=1)
+
+
+def shaped(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """query_id, hits: a JSON array of each question's hits (rank, key, score to four places, title, snippet) in order of rank; columns that aren't there are left out."""
+    told = [c for c in ("rank", key, "title", "snippet") if c in hits.columns]
+    one = F.struct(*told, F.round("score", 4).alias("score"))
+    return hits.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("hits"))
+
+
 def cosine(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, key: str = "chunk_id", most_questions: int = 10_000) -> DataFrame:
     """query_id, key, score, rank by cosine of chunks (key, embedding, acl_tags, quarantined) for questions (query_id, vector, user_tags).
 
@@ -73,26 +100,33 @@ def cosine(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, key: st
     sent = chunks.sparkSession.sparkContext.broadcast([(r[0], np.array(r[1], np.float64), frozenset(r[2])) for r in asked])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {}
+        by_size: dict[int, list[int]] = {}
+        for i, (_, vector, _) in enumerate(sent.value):
+            by_size.setdefault(len(vector), []).append(i)
+        # For each length of vectors: its questions, their unit vectors, and the best scores and keys so far, a row for each question.
+        known = {size: (at, _unit(np.stack([sent.value[i][1] for i in at]))) for size, at in by_size.items()}
+        best = {size: (np.full((len(at), 0), 0.0), np.full((len(at), 0), 0)) for size, at in by_size.items()}
+        seen: dict[tuple, np.ndarray] = {}
         for b in batches:
-            keys, tags = b.column(0).to_pylist(), [frozenset(t or ()) for t in b.column(2).to_pylist()]
-            vectors = [np.array(v if v is not None else [], np.float64) for v in b.column(1).to_pylist()]
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_size.setdefault(len(v), []).append(i)
-            for size, rows in by_size.items():
-                x = np.stack([vectors[i] for i in rows])
-                norm = np.sqrt((x * x).sum(axis=1))
-                x = x / np.where(norm > 0, norm, 1)[:, None]
-                for query, vector, user in sent.value:
-                    if len(vector) != size:
-                        continue
-                    own = np.sqrt((vector * vector).sum())
-                    score = np.round(x @ (vector / (own or 1)), DIGITS)
-                    seen = [(-s, keys[i]) for i, s in zip(rows, score.tolist(), strict=True) if tags[i] & user]
-                    best[query] = sorted(best.get(query, []) + seen)[:k]
-        rows = [(q, key, -s) for q, found in best.items() for s, key in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", key, "score"])
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            tags = [tuple(t or ()) for t in b.column(2).to_pylist()]
+            lengths = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            for size, (at, asked) in known.items():
+                rows = np.flatnonzero(lengths == size)
+                if not len(rows) or not size:
+                    continue
+                x = _unit(b.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size))
+                for t in {tags[i] for i in rows} - seen.keys():
+                    seen[t] = np.array([not user.isdisjoint(t) for _, _, user in sent.value])
+                may = np.stack([seen[tags[i]] for i in rows], axis=1)[at]
+                score = np.where(may, np.round(asked @ x.T, DIGITS), -np.inf)
+                both = np.concatenate([best[size][0], score], axis=1), np.concatenate([best[size][1], np.broadcast_to(keys[rows], score.shape)], axis=1)
+                best[size] = _best(*both, k)
+        for size, (at, _) in known.items():
+            score, key_of = best[size]
+            real = score > -np.inf
+            query = np.repeat(np.array([sent.value[i][0] for i in at], np.int64), real.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(key_of[real].astype(np.int64)), pa.array(score[real])], ["query_id", key, "score"])
 
     visible = chunks.where("not quarantined").select(F.col(key).cast("long"), "embedding", "acl_tags")
     return ranked(map_arrow(visible, scored, f"query_id long, {key} long, score double"), k, key)

@@ -1,7 +1,8 @@
 """Read-only SQL over allowed tables: one SELECT, checked before and after parsing, with caps on rows, time and size.
 
-The text is checked for its form; Spark's parser then gives the plan, whose relations must be on the allowlist and whose functions must not be
-on the deny-list.  The query runs over temporary views of the allowed tables in a session of its own.
+The text is checked for its form; Spark's parser then gives the plan, whose relations and functions must be on allowlists.  Functions that
+make large values out of small ones (repeat, space, lpad, sequence, array_repeat, ...) aren't.  The query runs over temporary views of the allowed
+tables in a session of its own.
 """
 
 from __future__ import annotations
@@ -10,11 +11,23 @@ import json
 import re
 import threading
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS, SECONDS, RESULT_CHARS, VALUE_CHARS = 50, 60, 2_000_000, 1_000_000
-#: Functions that read beyond the tables, run code or make huge values.
-DENIED = frozenset("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length randstr".split())
+#: Functions that a query may call: they read rows alone, and what they make isn't larger than what they are given, or not by much.
+ALLOWED = frozenset("""
+abs acos asin atan atan2 avg bigint boolean bround cast ceil ceiling char_length character_length chr coalesce concat concat_ws contains cos cot count count_if cume_dist
+current_date date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear decimal degrees dense_rank div double endswith every exp
+extract first first_value float floor format_number format_string greatest grouping grouping_id hour if ifnull initcap instr int isnan isnotnull isnull json_array_length
+get_json_object lag last last_day last_value lcase lead least left len length ln locate log log10 log2 lower ltrim make_date max max_by mean median min min_by minute mod mode month
+months_between nanvl negative now ntile nth_value nullif nvl nvl2 percent_rank percentile percentile_approx pmod position positive pow power quarter radians rank regexp
+regexp_extract regexp_like regexp_replace replace reverse right rint rlike round row_number rtrim second sign signum sin smallint some split_part sqrt startswith std
+stddev stddev_pop stddev_samp string substr substring substring_index sum tan timestamp tinyint to_date to_timestamp translate trim trunc try_add try_cast try_divide
+try_multiply try_subtract ucase unix_timestamp upper var_pop var_samp variance weekday weekofyear when year
+any between bool_and bool_or corr covar_pop covar_samp
+""".split())
 _COMMENT = re.compile(r"/\*.*?\*/|--[^\n]*", re.S)
 
 
@@ -53,9 +66,11 @@ def problem(sql: str, tables: list[str] | None, spark: SparkSession | None = Non
         while inner:
             e = inner.pop()
             kind = e.getClass().getSimpleName()
+            if kind == "LambdaFunction":
+                return "lambda functions are not allowed"
             if kind == "UnresolvedFunction":
                 called = e.nameParts().mkString(".").lower()
-                if called in DENIED:
+                if called not in ALLOWED:
                     return f"function '{called}' is not allowed"
             if kind in ("ScalarSubquery", "LateralSubquery", "Exists", "ListQuery"):
                 stack.append(e.plan())
@@ -68,9 +83,26 @@ def admitted(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> Data
     """The query's DataFrame over the views alone; raises Refused."""
     if why := problem(sql, list(views), spark):
         raise Refused(why)
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
     for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(_COMMENT.sub(" ", sql).strip())
+        rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
+        DataFrame(rows, own).createOrReplaceTempView(name)
+    return own.sql(_COMMENT.sub(" ", sql).strip())
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df that fails on a value, or a row, that is too large, before it reaches the driver."""
+    told = []
+    for i, field in enumerate(df.schema):
+        c = F.col(f"c{i}")
+        if field.dataType.typeName() in ("string", "binary"):
+            c = F.when(F.length(c) > VALUE_CHARS, F.raise_error(F.lit("a value is too large")).cast(field.dataType)).otherwise(c)
+        told.append(c.alias(f"c{i}"))
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*told)
+    size = F.length(F.to_json(F.struct(*rows.columns)))
+    return rows.where(F.when(F.coalesce(size, F.lit(0)) > RESULT_CHARS, F.raise_error(F.lit("the result is too large")).cast("boolean")).otherwise(True)) if rows.columns else rows
 
 
 def capped(df: DataFrame, rows: int = ROWS) -> tuple[list, bool]:
@@ -82,18 +114,21 @@ def capped(df: DataFrame, rows: int = ROWS) -> tuple[list, bool]:
 def run(spark: SparkSession, sql: str, views: dict[str, DataFrame], rows: int = ROWS, seconds: float = SECONDS) -> dict:
     """The answer: columns, rows, row_count, truncated.  The job is cancelled after the given time."""
     df = admitted(spark, sql, views)
-    tag = f"guarded-{threading.get_ident()}"
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
-    spark.addTag(tag)
+    tag, own = f"guarded-{threading.get_ident()}", df.sparkSession
+    timer = threading.Timer(seconds, lambda: own.interruptTag(tag))
+    own.addTag(tag)
     timer.start()
     try:
-        found, more = capped(df, rows)
+        found, more = capped(_small(df.limit(rows + 1)), rows)
+    except SparkRuntimeException as e:
+        for why in ("a value is too large", "the result is too large"):
+            if why in str(e):
+                raise Refused(why) from e
+        raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        own.removeTag(tag)
     told = {"columns": df.columns, "rows": [list(r) for r in found], "row_count": len(found), "truncated": more}
-    if any(isinstance(v, str | bytes) and len(v) > VALUE_CHARS for r in found for v in r):
-        raise Refused("a value is too large")
     if len(json.dumps(told, default=str)) > RESULT_CHARS:
         raise Refused("the result is too large")
     return told

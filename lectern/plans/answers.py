@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import jsons, screen, stem, text
-from lectern.operators import acl, answer, policy, search
+from lectern.operators import acl, answer, evals, models, policy, search
 from lectern.plans.registry import query
 from lectern.plans.retrieval import hybrid_topk
 from lectern.plans.tables import docs_acl, questions, table
@@ -59,8 +59,60 @@ def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select least(200, count(*) filter (doc_id % 17 <> 0 and length(trim(text)) > 40)) as sampled from documents")
 def golden_sample(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where((F.col("doc_id") % 17 != 0) & (F.length(F.trim("text")) > 40))
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(200).agg(F.count("*").alias("sampled"))
+    return evals.sampled(docs_acl(spark, d), 200).agg(F.count("*").alias("sampled"))
+
+
+def _fickle(prompt: str) -> str:
+    """A model for tests: down for some numbers, silent for others, and at first wrong for a third."""
+    n = int(prompt.split()[0])
+    if n % 5 == 4:
+        raise ConnectionError("the model is down")
+    if n % 5 == 3:
+        return "I don't know."
+    return f'Sure: {{"k": {n}, "groundedness": "{n % 11 * 10}%", "relevance": {n % 7}, "reason": "r{n % 2}"}}' if n % 3 or "last reply" in prompt else '{"k": "?"}'
+
+
+@query("""select event_id, case when event_id % 5 < 3 then '{"k": ' || event_id || ', "groundedness": "' || (event_id % 11 * 10) || '%", "relevance": ' || (event_id % 7) || ', "reason": "r' || (event_id % 2) || '"}' end as reply,
+    case event_id % 5 when 4 then 'the model is down' when 3 then 'no JSON object' end as problem, case when event_id % 5 < 3 and event_id % 3 > 0 then 1 else 2 end as tries from events""")
+def json_mode(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", F.concat(F.col("event_id").cast("string"), F.lit(" is the number")).alias("prompt"))
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}
+    return models.json_answers(rows, "prompt", _fickle, schema).select("event_id", "reply", "problem", "tries")
+
+
+def _steady(prompt: str) -> str:
+    return f'{{"groundedness": 1, "relevance": "50%", "correctness": {int(prompt.split()[0]) % 101}}}'
+
+
+@query("""with j as (select doc_id, case when doc_id % 5 < 3 and doc_id % 3 > 0 then least(1, (doc_id % 11) / 10.0) end as g, case when doc_id % 5 < 3 and doc_id % 3 > 0 then case when doc_id % 7 > 1 then (doc_id % 7) / 10.0 else doc_id % 7 end end as r,
+        case when doc_id % 101 > 10 then (doc_id % 101) / 100.0 when doc_id % 101 > 1 then (doc_id % 101) / 10.0 else doc_id % 101 end as c from documents)
+    select doc_id, round(case when g is null then 0.1 else (g + 0.1) / 2 end, 9)::double as groundedness, round(case when r is null then 0.5 else (r + 0.5) / 2 end, 9)::double as relevance, round(c, 9)::double as correctness,
+        case when g is not null then 'r' || (doc_id % 2) end as reason, case when g is null then 1 else 2 end as judges from j""".replace("0.1 else (g + 0.1)", "1.0 else (g + 1.0)"))
+def judge_retry(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" is to be judged")).alias("prompt"))
+    never_again = lambda p: _fickle(p.replace("last reply", ""))
+    found = models.judged(rows, "doc_id", "prompt", {"a": lambda p: never_again(p) if int(p.split()[0]) % 3 else "no", "b": _steady})
+    return found.select("doc_id", "groundedness", "relevance", "correctness", "reason", "judges")
+
+
+@query("select 'draft-' || doc_id as id, 'What is ' || doc_id || '?' as question, null::varchar as problem from documents where doc_id % 17 <> 0 and length(trim(text)) > 40 and doc_id < 50")
+def golden_drafts(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs_acl(spark, d).where("doc_id < 50").withColumn("text", F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text"))
+    rows = rows.where(F.length(F.trim(F.regexp_replace("text", "^[0-9]+ ", ""))) > 40)
+    said = lambda p: '{"question": "What is %s?", "answer": "it"}' % p.split("\n\n", 1)[1].split()[0]
+    return models.drafted(rows, said).select("id", "question", "problem")
+
+
+@query("""with l as (select 'r' || (event_id % 4000) as request_id, event_id + 1 as seq, event_type as kind from events), asked as (select 'r' || (item_id * 7) as request_id from benchmark)
+    select l.request_id, 'ledger' as origin, seq, kind from l join asked using (request_id) union all
+    select 'r' || (event_id % 4000), 'approval', event_id, case when event_id % 2 = 0 then 'pending' else 'approved' end from events where event_id % 5 = 0 and 'r' || (event_id % 4000) in (select request_id from asked)""")
+def request_trail(spark: SparkSession, d: str) -> DataFrame:
+    named = F.concat(F.lit("r"), (F.col("event_id") % 4000).cast("string")).alias("request_id")
+    events = table(spark, d, "events")
+    ledger = events.select(named, (F.col("event_id") + 1).alias("seq"), F.col("event_type").alias("kind"))
+    held = events.where("event_id % 5 = 0").select(named, F.col("event_id").alias("approval_id"), F.when(F.col("event_id") % 2 == 0, "pending").otherwise("approved").alias("status"))
+    asked = table(spark, d, "benchmark").select(F.concat(F.lit("r"), (F.col("item_id") * 7).cast("string")).alias("request_id"))
+    return policy.trail(asked, ledger, held)
 
 
 @query("select conv_id, turn, last_value(case when role = 'user' then text[1:20] end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as heading from conversations")

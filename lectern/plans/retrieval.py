@@ -278,3 +278,9 @@ def include_checks(spark: SparkSession, d: str) -> DataFrame:
 def title_match(spark: SparkSession, d: str) -> DataFrame:
     expected = F.array(F.concat(F.lit("  "), F.upper(F.split_part("p_name", F.lit(" "), F.lit(1)))), F.lit(""))
     return table(spark, d, "part").select("p_partkey", evals.title_matches(expected, F.col("p_name")).alias("matched"))
+
+
+@query(f"""with {BM25} select query_id, '[' || string_agg('{{"rank":' || rank || ',"doc_id":' || doc_id || ',"score":' || rtrim(rtrim(printf('%.4f', round(score, 4)), '0'), '.') || case when round(score, 4) = floor(round(score, 4)) then '.0' else '' end || '}}', ',' order by rank) || ']' as hits
+    from bm25 where rank <= 5 group by query_id""")
+def hits_json(spark: SparkSession, d: str) -> DataFrame:
+    return search.shaped(search.bm25(docs_acl(spark, d), questions(spark, d), 5))

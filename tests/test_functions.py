@@ -164,7 +164,7 @@ def test_ledger(spark, tmp_path):
     assert tuple(ledger.verify(swapped).first()) == (False, 2, 2, "hash")
     ledger.export(rows, str(tmp_path / "out"))
     back = ledger.read_export(spark, str(tmp_path / "out"))
-    assert sorted(map(tuple, back.drop("unreadable").collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert sorted(map(tuple, back.drop("unreadable", "line").collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
     with pytest.raises(ValueError, match="kind"):
         ledger.append(spark, [("", None, {})])
     with pytest.raises(ValueError, match="JSON"):
@@ -180,6 +180,41 @@ def test_guard(spark):
             sqlguard.admitted(spark, bad, views)
 
 
+def test_guard_refuses_what_makes_large_values(spark):
+    views = {"t": spark.range(12).toDF("x")}
+    spark.range(3).toDF("y").createOrReplaceTempView("t")
+    for bad in ("repeat('x', 2000000000)", "space(2000000000)", "lpad('x', 2000000000, 'y')", "array_repeat(x, 2000000000)", "sequence(1, 1000000000)", "explode(sequence(1, 9))", "reflect('java.lang.System', 'exit')", "x -> x", "collect_list(x)"):
+        with pytest.raises(sqlguard.Refused):
+            sqlguard.admitted(spark, f"select {bad} from t", views)
+    assert sqlguard.admitted(spark, "select upper(cast(max(x) as string)) as m, count(*) from t where x between 1 and 9 and x in (1, 2) group by x % 2 order by 1", views).count() == 2
+    # The caller's view of the same name stays.
+    assert spark.table("t").columns == ["y"]
+    spark.catalog.dropTempView("t")
+
+
+def test_guard_caps_sizes_before_they_reach_the_driver(spark, monkeypatch):
+    views = {"t": spark.createDataFrame([("a" * 50,), ("b",)], "x string")}
+    monkeypatch.setattr(sqlguard, "VALUE_CHARS", 40)
+    with pytest.raises(sqlguard.Refused, match="value"):
+        sqlguard.run(spark, "select x from t", views)
+    monkeypatch.setattr(sqlguard, "VALUE_CHARS", 60)
+    monkeypatch.setattr(sqlguard, "RESULT_CHARS", 80)
+    with pytest.raises(sqlguard.Refused, match="result"):
+        sqlguard.run(spark, "select x as a, x as a from t", views)
+    assert sqlguard.run(spark, "select x from t where x = 'b'", views)["rows"] == [["b"]]
+
+
+def test_verdict_of_a_file(spark, tmp_path):
+    rows = ledger.append(spark, [("a", "r1", {"b": 1}), ("b", None, "{}")])
+    ledger.export(rows, str(tmp_path / "out"))
+    assert ledger.verdict(spark, str(tmp_path / "out")) == (0, "2 rows are sound")
+    lines = next((tmp_path / "out").glob("part-*")).read_text().splitlines()
+    (tmp_path / "bad").write_text("\n".join([lines[0].replace('"a"', '"x"'), lines[1]]))
+    assert ledger.verdict(spark, str(tmp_path / "bad")) == (1, "row 1: hash")
+    (tmp_path / "odd").write_text("\n".join([lines[0], "", "{broken", lines[1]]))
+    assert ledger.verdict(spark, str(tmp_path / "odd")) == (2, "line 3: unreadable")
+
+
 def test_store(spark, tmp_path):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "id long, embedding array<float>")
     with pytest.raises(KeyError):
