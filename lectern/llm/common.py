@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.folders import checkpoint, shared_dir
 from lectern.functions.shipping import map_arrow
 
 #: A word is a run of anything but ASCII white space.
@@ -23,29 +23,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
-    if not where:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="lectern-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, its rows in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = scratch(df.sparkSession, name)
@@ -66,6 +47,34 @@ def entries(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def bucketed(spark: SparkSession, path: str, columns: str, key: str, buckets: int) -> str:
+    """The name of the table at path, bucketed and sorted by key, which joins by key without an exchange."""
+    name = "lectern_" + hashlib.md5(path.encode()).hexdigest()
+    spark.sql(f"create table if not exists {name} ({columns}) using parquet clustered by ({key}) sorted by ({key}) into {buckets} buckets location '{path}'")
+    return name
+
+
+#: A key with fewer rows than this is never heavy.
+HEAVY = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right, of which right has one row at most for each value of key.
+
+    counts (key, n) has the rows of left for each key.  Keys that hold more than their share of a partition are at most twice as many as
+    partitions: their rows of left stay where they are and meet a broadcast of right's.
+    """
+    spark = left.sparkSession
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(HEAVY, total // (2 * partitions(spark)))
+    heavy = [(r[0],) for r in counts.where(F.col("n") > most).select(key).collect()]
+    if not heavy:
+        return left.join(right, key, how)
+    keys = F.broadcast(spark.createDataFrame(heavy, right.select(key).schema))
+    few = F.broadcast(right.join(keys, key, "left_semi"))
+    return left.join(keys, key, "left_anti").join(right, key, how).unionByName(left.join(keys, key, "left_semi").join(few, key, how))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -183,13 +192,13 @@ def _forest_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame, forests: bool = False, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, forests: bool = False, most_rounds: int = 200) -> DataFrame:
     """node, component of every node of edges (a, b long): component is the smallest node reachable.
 
     Each task first keeps a spanning forest of its edges, which leaves the components as they are;
-    large-star and small-star rounds then halve what remains until nothing changes.  Every round is
-    checkpointed.  Without edges the result is empty; null ends and loops are ignored.  forests: each
-    task's edges are a forest already, as they come from a Python step, which this one then doesn't follow.
+    large-star and small-star rounds then shrink what remains until nothing changes.  Every round is
+    checkpointed; a hub's edges don't meet in one task.  Without edges the result is empty; null ends and loops are ignored.  forests: the
+    edges are few or forests already, or no Python may run: this step is left out.
     """
     now = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     now = now if forests else map_arrow(now, _forest_edges, "a long, b long")
@@ -201,10 +210,10 @@ def components(edges: DataFrame, forests: bool = False, most_rounds: int = 60) -
             break
         mark = state
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, low.select("a", F.least("a", "m").alias("m")), "a", low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low.select("a", "m"), "a", low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = checkpoint(small.union(low.select("a", F.col("m").alias("b"))).distinct())
     else:
         raise RuntimeError("the components haven't settled")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.shipping import map_arrow
-from lectern.llm.common import checkpoint, entries, mixed, partitions, remove, scratch, text_chunks, utf8, word_bounds, word_codes
+from lectern.llm.common import bucketed, checkpoint, entries, mixed, partitions, remove, scratch, text_chunks, utf8, word_bounds, word_codes
 
 WINDOW, GRAM, FANOUT, BATCHES = 50, 10, 2, 3
 #: Words of a posting's context, at most: longer runs of one context are several rows.
@@ -147,10 +147,9 @@ class FingerprintIndex:
         self.buckets = int(done[0].split("-")[2]) if done else buckets or partitions(spark)
 
     def _name(self, run: str) -> str:
-        return "lectern_" + hashlib.md5(f"{self.path}/{run}".encode()).hexdigest()
+        return bucketed(self.spark, f"{self.path}/{run}/grams", self.GRAMS, "f", self.buckets)
 
     def grams(self, run: str) -> DataFrame:
-        self.spark.sql(f"create table if not exists {self._name(run)} ({self.GRAMS}) using parquet clustered by (f) sorted by (f) into {self.buckets} buckets location '{self.path}/{run}/grams'")
         return self.spark.table(self._name(run))
 
     def contexts(self, run: str) -> DataFrame:
@@ -159,7 +158,6 @@ class FingerprintIndex:
     def _new(self, grams: DataFrame) -> str:
         run = f"run-{self.made:06d}-{self.buckets}"
         self.made += 1
-        self.grams(run)
         grams.select("f", *self.WHO, "hi", "several").write.insertInto(self._name(run))
         self.spark.catalog.refreshTable(self._name(run))
         return run

@@ -75,6 +75,27 @@ def test_licences(spark):
         assert any(a in common_words(text) for a in licenses.anchors(TEMPLATES, licenses.THRESHOLD)), name
 
 
+def test_licences_of_several_paragraphs_and_within_lines(spark):
+    import duckdb
+
+    from lectern.llm.license_texts import TEMPLATES
+
+    def parts(name):
+        w = max((t for n, t in TEMPLATES if n == name), key=len).split()
+        return "\n\n".join(" ".join(w[k * len(w) // 3 : (k + 1) * len(w) // 3]) for k in range(3))
+
+    prose = "\n\n".join(f"Paragraph {i} tells of house {i} and of tree {i * 7}." for i in range(30))
+    rows = [(i, f"{prose}\n\n{parts(n)}\n\n{prose}") for i, n in enumerate(("MIT", "BSD-3-Clause", "Zlib", "Apache-2.0", "MPL-2.0"))]
+    rows += [(10, "Copyright 2024 Acme. " + parts("MIT").replace("\n\n", " ") + " And so on it goes, for a long while after."), (11, "Copyright 2024 Acme Ltd. Released under the MIT License."), (12, prose), (13, None), (14, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert found == {0: "MIT", 1: "BSD-3-Clause", 2: "Zlib", 3: "Apache-2.0", 4: "MPL-2.0", 10: "MIT", 11: "MIT", 12: None, 13: None, 14: None}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    same(con, licenses.scan(df), licenses.oracle())
+
+
 def common_words(text):
     import re
 
@@ -499,16 +520,68 @@ def test_archive(spark, tmp_path):
         head, _, block = bytes(r.warc).partition(b"\r\n\r\n")
         assert head.startswith(b"WARC/1.1\r\n") and bytes(r.warc).endswith(b"\r\n\r\n")
         assert int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"]) == len(block) - 4
-    assert spark.read.parquet(str(tmp_path / "w/payloads")).select("digest").distinct().count() == 4
-    stored = spark.read.parquet(str(tmp_path / "w/payloads")).collect()
-    spark.createDataFrame([(r.digest, bytes(r.payload) + b"!") for r in stored], "digest string, payload binary").write.mode("overwrite").parquet(str(tmp_path / "w/payloads"))
+    stored = [(r.digest, bytes(r.payload)) for r in archive.payloads(spark, str(tmp_path / "w")).collect()]
+    assert len(stored) == len({d for d, _ in stored}) == 4
+    archive.store(df, str(tmp_path / "x"))
+    name = next(x for x in common.entries(spark, str(tmp_path / "x")) if x.startswith("payloads"))
+    spark.createDataFrame([(d, p + b"!") for d, p in stored], archive.PAYLOADS).write.insertInto(common.bucketed(spark, str(tmp_path / "x" / name), archive.PAYLOADS, "digest", 4), overwrite=True)
     with pytest.raises(Exception, match="damaged"):
-        archive.summary(spark, str(tmp_path / "w")).collect()
+        archive.summary(spark, str(tmp_path / "x")).collect()
+    archive.discard(spark, str(tmp_path / "x"))
+    assert common.entries(spark, str(tmp_path / "x")) == []
     small = {r.page_id: r.record_type for r in archive.archived(df.where("page_id < 3"), str(tmp_path / "v"), least_bytes=10).collect()}
     assert small == {1: "response", 2: "response"}
     assert archive.archived(df.limit(0), str(tmp_path / "u")).count() == 0
 
 
+def test_archive_of_many_equal_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "HEAVY", 20)
+    monkeypatch.setattr(common, "HEAVY", 20)
+    rows = [(i, f"http://a/{i}", "" if i % 3 else ("x" * i if i % 2 else "error")) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("d"), "bytes": F.lit(1), "salt": F.lit(2)})
+    found = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in archive.archived(df, str(tmp_path / "w")).collect()}
+    last = {h: i for i, _, h in rows}
+    assert found == {i: (len(h), "response" if last[h] == i else "revisit", None if last[h] == i else last[h]) for i, _, h in rows}
+    assert {(r.page_id, bytes(r.payload).decode()) for r in archive.records(spark, str(tmp_path / "w")).collect()} == {(i, h) for i, _, h in rows}
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 10)
+    left = spark.createDataFrame([(i, i % 7 if i < 100 else 99) for i in range(300)], "i long, k long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in (0, 1, 2, 99)], "k long, name string")
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, common.spread_join(left, right, "k", counts, how).select("i", "k", "name").collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).select("i", "k", "name").collect()), key=str)
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 10)
+    edges = [(1000, i) for i in range(200)] + [(i, i + 2000) for i in range(50)] + [(5000, 5001)]
+    for forests in (True, False):
+        found = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long"), forests).collect()}
+        assert found == {x: 5000 if x >= 5000 else 0 for e in edges for x in e}
+
+
+def test_more_than_64_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{letters[k % 26]}{letters[k // 26]}{letters[(k * 7) % 26]}q" for k in range(70)]
+    rows = [(20 * k + j, " ".join([words[k]] * 8), f"l{k:02d}") for k in range(70) for j in range(8)]
+    found = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == r.lang for r in found)
+
+
+def test_filter_grows_with_its_grams():
+    rng = np.random.default_rng(3)
+    many = np.unique(rng.integers(0, 1 << 63, 400_000).astype(np.uint64))
+    model = language.Filter.of(["a", "b"], [many, many[:10]])
+    assert model.masks.shape[1] * language.FULL >= language.PROBES * len(many) and model.false_hit[0] < 0.05
+    other = rng.integers(0, 1 << 63, 100_000).astype(np.uint64)
+    hit = np.full(len(other), np.uint64(3))
+    for s in language._slots(other, model.masks.shape[1]):
+        hit &= model.masks[0, s]
+    assert abs((hit & np.uint64(1)).mean() - model.false_hit[0]) < 0.01
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(11)
     base = rng.normal(size=(12, 16))
