@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ascii_lower, checkpoint
+from lectern.llm.common import ascii_lower, checkpoint, spread_join
 
 #: (host, start of the path, verdict)
 RULES = (
@@ -89,7 +89,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
     """page_id, host, path, rule, verdict of every row of pages (page_id, url, html).
 
     A null url, or one without ://, has an empty host and path: no rule fits, and it is allowed, as are
-    hosts that hold neither trust nor distrust.  Repeated rows keep their rows; a null html has no links.
+    hosts that hold neither trust nor distrust.  Repeated rows keep their rows; a null html has no links; other columns aren't
+    used, and an empty table gives an empty one.
     """
     named = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     named = named.withColumn("fit", matched(F.col("host"), F.col("path"), rules))
@@ -106,8 +107,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
     )
     bad = scores.where(F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), SHARE_DIGITS) > THRESHOLD).select("h")
-    plain = named.select("page_id", "host", "path", "fit").join(bad, F.col("host") == F.col("h"), "left")
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("h").isNotNull(), "block").otherwise("allow"))
+    pages_of = named.groupBy("host").agg(F.count("*").alias("n"))
+    plain = spread_join(named.select("page_id", "host", "path", "fit"), bad.select(F.col("h").alias("host"), F.lit(True).alias("bad")), "host", pages_of, "left")
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("bad"), "block").otherwise("allow"))
     return plain.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
 
 
