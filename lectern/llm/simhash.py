@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.shipping import map_arrow
-from lectern.llm.common import Forest, checkpoint, components, text_chunks, utf8
+from lectern.llm.common import Forest, checkpoint, components, partitions, spread_join, text_chunks, utf8
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Lowest bit and number of bits of each segment.
@@ -175,13 +175,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _components(marked: DataFrame) -> DataFrame:
-    """fp, component_id of every fingerprint of marked (doc_id, fp)."""
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    keyed = map_arrow(nodes.select("fp"), _keyed, "key long, fp long, home boolean")
+    """fp, component_id, n (rows) of every fingerprint of marked (doc_id, fp)."""
+    nodes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    # Few rows become very many: they are dealt out before.
+    keyed = map_arrow(nodes.select("fp").repartition(partitions(marked.sparkSession)), _keyed, "key long, fp long, home boolean")
     links = map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _links, "a long, b long")
-    found = nodes.join(components(links, forests=True).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = found.groupBy("component").agg(F.min("first").alias("component_id"))
-    return found.select("fp", "component").join(least, "component").select("fp", "component_id")
+    found = nodes.join(components(links, forests=True).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
+    least = found.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(found.select("fp", "component", F.col("n").alias("rows")), least.select("component", "component_id"), "component", least)
+    return checkpoint(named.select("fp", "component_id", F.col("rows").alias("n")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -196,15 +198,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     marked = checkpoint(fingerprints(docs))
     named = _components(marked)
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(marked, named.select("fp", "component_id"), "fp", named).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, more columns) without near-duplicates: of each component the one with the smallest
-    doc_id stays, of several the one with the smallest hash of its text, of identical ones any."""
+    doc_id stays, of several the one with the smallest hash of its text, of identical ones any.
+
+    A null doc_id comes after all others, a null or empty text is linked like any other; other columns pass through, whatever their
+    names, and an empty table gives an empty one.
+    """
     key, twin = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64("text")
     marked = checkpoint(map_arrow(docs.select("doc_id", "text", twin.alias("twin")), _fingerprints, "doc_id long, fp long, twin long"))
     named = _components(marked)
-    best = marked.join(named, "fp").groupBy(F.coalesce("component_id", "fp")).agg(F.min(F.struct(key.alias("key__"), F.col("twin").alias("twin__"))).alias("best"))
-    rows = docs.withColumns({"key__": key, "twin__": twin})
-    return rows.join(best.select("best.*").hint("shuffle_hash"), ["key__", "twin__"], "left_semi").dropDuplicates(["key__", "twin__"]).select(*docs.columns)
+    met = spread_join(marked, named.select("fp", "component_id"), "fp", named)
+    best = met.groupBy(F.coalesce("component_id", "fp")).agg(F.min(F.struct(key.alias("its_key"), F.col("twin").alias("its_twin"))).alias("best")).select("best.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(key.alias("key"), twin.alias("twin"), row.alias("row"))
+    rows = rows.join(best.hint("shuffle_hash"), (F.col("key") == F.col("its_key")) & (F.col("twin") == F.col("its_twin")), "left_semi")
+    # The join has dealt rows out by key and twin already, so this moves no text again.
+    return rows.dropDuplicates(["key", "twin"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
