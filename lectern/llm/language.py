@@ -1,7 +1,7 @@
 """Language ID with a bit-sliced Bloom filter of character n-grams.
 
-Every slot of the filter is a bitmask of languages, so that one probe of `PROBES` slots returns all languages
-that contain an n-gram.  A document's hits are counted per language; the share of its n-grams that a language
+Every slot of the filter is a bitmask of languages (of 64 each, as many as it takes), so that one probe of `PROBES` slots returns all
+languages that contain an n-gram.  A document's hits are counted per language; the share of its n-grams that a language
 contains is corrected for the filter's false positives of that language, and the largest share decides.
 """
 
@@ -13,17 +13,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.shipping import map_arrow
-from lectern.llm.common import text_chunks
+from lectern.llm.common import checkpoint, text_chunks
 
 #: Documents of each language to learn from, at most in expectation (chosen by a hash of doc_id).
 SAMPLE = 2000
-#: Slots of the filter (a power of two) and slots that each n-gram sets.
-SLOTS, PROBES = 1 << 20, 3
+#: Slots that each n-gram sets; a language's n-grams set at most this share of the filter's slots, whose number is a power of two and this at least.
+PROBES, FULL, LEAST_SLOTS = 3, 0.25, 1 << 16
+#: N-grams rarer than this in a language's sample aren't learned, so that no language has more than 1 / RARE of them.
+RARE = 2.0**-18
 #: A language contains an n-gram if it has it this often in the sample, and at this share of the largest rate among languages.
 LEAST, SHARE = 2, 0.2
 UNKNOWN = "und"
@@ -53,37 +56,47 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.searchsorted(at, ends, "left")])
 
 
-def _slots(h: np.ndarray) -> list[np.ndarray]:
-    return [(h >> np.uint64(21 * k) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(PROBES)]
+def _slots(h: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """The places of n-grams among n slots (a power of two), for each probe."""
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    for k in range(PROBES):
+        yield (h + np.uint64(k) * step & np.uint64(n - 1)).astype(np.int64)
 
 
 @dataclass
 class Filter:
-    """languages in order; bit l of a slot stands for languages[l]; false_hit: its rate of false positives."""
+    """languages in order; bit l % 64 of masks[l // 64] of a slot stands for languages[l]; false_hit: its rate of false positives."""
 
     languages: list[str]
-    slots: np.ndarray
+    masks: np.ndarray
     false_hit: np.ndarray
 
     @classmethod
     def of(cls, languages: list[str], entries: list[np.ndarray]) -> Filter:
-        slots = np.zeros(SLOTS, np.uint64)
+        most = max((len(h) for h in entries), default=0)
+        n = LEAST_SLOTS
+        while PROBES * most > FULL * n:
+            n *= 2
+        masks = np.zeros((-(-len(languages) // 64), n), np.uint64)
         for k, h in enumerate(entries):
-            for s in _slots(h):
-                slots[s] |= np.uint64(1 << k)
-        fill = [float((slots >> np.uint64(k) & np.uint64(1)).mean()) for k in range(len(languages))]
-        return cls(languages, slots, np.array([f**PROBES for f in fill]))
+            for s in _slots(h, n):
+                masks[k // 64, s] |= np.uint64(1 << k % 64)
+        fill = [float((masks[k // 64] >> np.uint64(k % 64) & np.uint64(1)).mean()) for k in range(len(languages))]
+        return cls(languages, masks, np.array([f**PROBES for f in fill]))
 
     def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The corrected share of each language for each text (0 to 1), and the number of its n-grams."""
         h, at = grams(texts)
-        found = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
-        for s in _slots(h):
-            found &= self.slots[s]
         n, out = np.diff(at), np.zeros((len(texts), len(self.languages)))
-        for k, wrong in enumerate(self.false_hit):
-            hits = np.concatenate([[0], np.cumsum(found >> np.uint64(k) & np.uint64(1))])[at].astype(np.int64)
-            out[:, k] = np.clip((np.diff(hits) / np.maximum(n, 1) - wrong) / (1 - wrong if wrong < 1 else 1), 0, 1)
+        places = list(_slots(h, self.masks.shape[1]))
+        for group, mask in enumerate(self.masks):
+            found = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
+            for s in places:
+                found &= mask[s]
+            for k in range(64 * group, min(64 * group + 64, len(self.languages))):
+                wrong = self.false_hit[k]
+                hits = np.concatenate([[0], np.cumsum(found >> np.uint64(k % 64) & np.uint64(1))])[at].astype(np.int64)
+                out[:, k] = np.clip((np.diff(hits) / np.maximum(n, 1) - wrong) / (1 - wrong if wrong < 1 else 1), 0, 1)
         return out, n
 
 
@@ -103,31 +116,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Filter:
     """The filter learned from docs (doc_id, text, lang), about `sample` documents of each language.
 
-    Rows without text or language aren't used.  At most 64 languages.
+    Rows without text or language aren't used.  Only the n-grams of each language that are common enough in it reach the driver.
     """
     rows = docs.where("lang is not null and text is not null")
-    found = dict(sorted((r[0], r[1]) for r in rows.groupBy("lang").count().limit(65).collect()))
-    if len(found) > 64:
-        raise ValueError("a filter holds 64 languages at most")
+    found = dict(sorted((r[0], r[1]) for r in rows.groupBy("lang").count().collect()))
     if not found:
         return Filter.of([], [])
-    share = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, sample / n))])
+    share = F.broadcast(docs.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in found.items()], "lang string, share double"))
     chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = rows.where(chance < share[F.col("lang")])
+    rows = rows.join(share, "lang").where(chance < F.col("share"))
     counts = map_arrow(rows.select("lang", "text"), _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = checkpoint(counts)
+    total = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total")))
+    counts = counts.join(total, "lang").where((F.col("n") >= LEAST) & (F.col("n") >= RARE * F.col("total"))).select("lang", "gram", "n", "total")
     got = counts.toArrow()
-    lang = np.array(got.column("lang").to_pylist(), object)
-    gram, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    names = list(found)
-    all_grams = np.unique(gram)
-    rate = np.zeros((len(names), len(all_grams)))
-    often = np.zeros(rate.shape, bool)
-    for k, name in enumerate(names):
-        own = lang == name
-        i = np.searchsorted(all_grams, gram[own])
-        rate[k, i], often[k, i] = n[own] / max(1, n[own].sum()), n[own] >= LEAST
-    keep = often & (rate >= SHARE * rate.max(axis=0, initial=0))
-    return Filter.of(names, [all_grams[keep[k]] for k in range(len(names))])
+    lang = pc.index_in(got.column("lang").combine_chunks(), pa.array(list(found))).to_numpy(zero_copy_only=False)
+    gram = got.column("gram").to_numpy().view(np.uint64)
+    rate = got.column("n").to_numpy() / got.column("total").to_numpy()
+    order = np.argsort(gram, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]])) if len(gram) else order
+    highest = np.empty(len(gram))
+    highest[order] = np.repeat(np.maximum.reduceat(rate[order], first), np.diff(np.append(first, len(gram)))) if len(gram) else rate
+    keep = rate >= SHARE * highest
+    return Filter.of(list(found), [np.sort(gram[keep & (lang == k)]) for k in range(len(found))])
 
 
 def predict(docs: DataFrame, model: Filter) -> DataFrame:
@@ -158,6 +169,9 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with held_out, lang_pred and score; learned from those that aren't held out."""
+    """docs with held_out, lang_pred and score, which replace columns of these names; learned from those that aren't held out.
+
+    A null doc_id isn't held out.  Rows that repeat stay, and an empty table gives an empty one; other columns pass through.
+    """
     marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
     return predict(marked, fit(marked.where("not held_out"), sample))
