@@ -1,6 +1,7 @@
 """Licence scans: units of a text against licence templates by the Dice coefficient over their sets of word bigrams.
 
-A document's units are its whole text, its paragraphs (between blank lines) and its lines.  Words are runs of a-z and 0-9
+A document's units are its whole text, its paragraphs (between blank lines), its lines, and its windows of a template's length, which find
+licences of several paragraphs within a text and notices within a line.  Words are runs of a-z and 0-9
 once A-Z is lower-cased.  Dice >= t needs set sizes within a factor of t / (2 - t), which prunes templates by size.  It also needs
 that share of a template's bigrams, so a text in which none of the `anchors` occurs, words that enough of every
 template's bigrams hold, has no match and isn't cut up at all.  Everything is a function of the row: no shuffle.
@@ -79,7 +80,7 @@ def _some(text: Column, templates: tuple[tuple[str, str], ...], threshold: float
 
 def best_match(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
     """struct(neg, license, scope) of the best unit and template; null without a match."""
-    return F.when(_some(text, templates, threshold), F.array_min(_hits(text, templates, threshold)))
+    return F.when(_some(text, templates, threshold), F.array_min(F.concat(_hits(text, templates, threshold), _window_hits(text, templates, threshold))))
 
 
 def _let(value: Column, body) -> Column:
@@ -136,7 +137,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     """doc_id, license, dice, scope of every row of docs (doc_id, text).
 
     The best match of at least threshold; of equal ones the first licence by name, then the first of line,
-    paragraph and text.  Without a match, or without a text, license, dice and scope are null.  Rows that repeat stay;
+    paragraph, text and window.  Without a match, or without a text, license, dice and scope are null.  Rows that repeat stay;
     an empty table gives an empty one.
     """
     found = docs.select("doc_id", best_match(F.col("text"), templates, threshold).alias("m"))
@@ -144,17 +145,26 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same for DuckDB: every unit against every template, without pruning."""
-    listed = ", ".join(f"('{name}', '{t.replace(chr(39), chr(39) * 2)}')" for name, t in templates)
-    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    """The same for DuckDB: every unit against every template.  Texts without an anchor are left out before they are cut into windows."""
+    quoted = [(name, t.replace("'", "''")) for name, t in templates]
+    listed = ", ".join(f"({i}, '{name}', '{t}')" for i, (name, t) in enumerate(quoted))
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     tokens = f"regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '{TOKEN}')"
-    return f"""with templates(license, t) as (values {listed}),
-    tt as (select license, {grams} as g from (select license, {tokens} as w from templates)),
+    dice = f"round(2.0 * len(list_intersect({{0}}, k.g)) / (len({{0}}) + len(k.g)), {DIGITS})"
+    share = threshold / (2 - threshold)
+    return f"""with templates(tid, license, t) as (values {listed}),
+    tt as (select tid, license, list_distinct({pairs}) as g, len(w) - 1 as size, ceil(len(list_distinct({pairs})) * {share} - 1e-9) as need from (select tid, license, {tokens} as w from templates)),
     units as (select doc_id, 'text' as scope, text as t from documents where text is not null
-        union all select doc_id, 'paragraph', unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) from documents where text is not null
+        union all select doc_id, 'paragraph', unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) from documents where text is not null
         union all select doc_id, 'line', unnest(string_split(text, chr(10))) from documents where text is not null),
-    cut as (select doc_id, scope, {grams} as g from (select doc_id, scope, {tokens} as w from units) where len(w) > 1),
-    hits as (select doc_id, license, scope, round(2.0 * len(list_intersect(c.g, k.g)) / (len(c.g) + len(k.g)), {DIGITS}) as dice from cut c join tt k
-        on len(c.g) between len(k.g) * {threshold / (2 - threshold) - 1e-9} and len(k.g) * {(2 - threshold) / threshold + 1e-9}),
-    best as (select *, row_number() over (partition by doc_id order by dice desc, license, scope) as k from hits where dice >= {threshold})
+    cut as (select doc_id, scope, list_distinct({pairs}) as g from (select doc_id, scope, {tokens} as w from units) where len(w) > 1),
+    hits as (select doc_id, license, scope, {dice.format('c.g')} as dice from cut c join tt k
+        on len(c.g) between len(k.g) * {share - 1e-9} and len(k.g) * {1 / share + 1e-9}),
+    anchored as (select doc_id, {pairs} as g from (select doc_id, {tokens} as w from (select doc_id, text as t from documents where regexp_matches(text, '(^|[^A-Za-z0-9])(?i:{"|".join(anchors(templates, threshold))})([^A-Za-z0-9]|$)'))) where len(w) > 1),
+    placed as (select s.doc_id, k.tid, list_filter(range(1, len(s.g) + 1), lambda i: list_contains(k.g, s.g[i])) as p from anchored s cross join tt k),
+    starts as (select doc_id, tid, unnest(p) as p, p as spots from placed join tt using (tid) where len(p) >= need),
+    ends as (select doc_id, tid, p, list_max(list_filter(spots, lambda e: e < p + size)) as e from starts join tt using (tid)),
+    windows as (select n.doc_id, n.tid, list_distinct(list_slice(s.g, n.p, n.e)) as g from ends n join anchored s using (doc_id)),
+    every as (select * from hits union all select doc_id, license, 'window', {dice.format('w.g')} from windows w join tt k using (tid)),
+    best as (select *, row_number() over (partition by doc_id order by dice desc, license, scope) as k from every where dice >= {threshold})
     select d.doc_id, b.license, b.dice, b.scope from documents d left join best b on d.doc_id = b.doc_id and b.k = 1"""
