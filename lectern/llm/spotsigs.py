@@ -12,6 +12,8 @@ and the next.  Within them sets meet by the prefix of their rarest signatures.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +58,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below key, by binary search."""
+    """How many of the sorted bounds are below key, by binary search.  The bounds are one literal, however many they are."""
     if not bounds:
         return F.lit(0)
     steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
-    known = F.array(*[F.lit(b) for b in bounds])
+    known = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(known, at + s - 1) < key), at + s).otherwise(at))
 
 
@@ -73,11 +75,10 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = rows.withColumn("bucket", _bucket(F.col("key"), sorted(set(bounds or []))))
     # A row for each bucket: at most n.
     tops = sorted((r[0], r[1]) for r in rows.groupBy("bucket").agg(F.max("key")).collect())
-    guests = {key: tops[(k + 1) % len(tops)][0] for k, (_, key) in enumerate(tops)}
-    if not guests:
+    if not tops:
         return rows.withColumn("guest", F.lit(False))
-    to = F.create_map(*[F.lit(x) for pair in guests.items() for x in pair])
-    visiting = rows.where(F.col("key").isin(list(guests))).withColumn("bucket", to[F.col("key")])
+    guests = F.broadcast(docs.sparkSession.createDataFrame([(key, tops[(k + 1) % len(tops)][0]) for k, (_, key) in enumerate(tops)], "key long, host int"))
+    visiting = rows.join(guests, "key").select("doc_id", "text", "key", F.col("host").alias("bucket"))
     return rows.withColumn("guest", F.lit(False)).union(visiting.withColumn("guest", F.lit(True)))
 
 
@@ -158,7 +159,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     left, right = sets.select(F.col("node").alias("a"), F.col("spots").alias("x")), sets.select(F.col("node").alias("b"), F.col("spots").alias("y"))
     links = pairs.join(left, "a").join(right, "b").where(likeness(F.col("x"), F.col("y")) >= threshold).select("a", "b")
-    parts = components(links).withColumnRenamed("component", "class")
+    parts = components(links, forests=True).withColumnRenamed("component", "class")
     named = nodes.join(parts, "node", "left").select("name", "first", F.coalesce("class", "node").alias("class"))
     least = named.groupBy("class").agg(F.min("first").alias("class_id"))
     return rows.select("doc_id", "name").join(named.select("name", "class").join(least, "class"), "name").select("doc_id", "class_id")
