@@ -202,7 +202,7 @@ def components(edges: DataFrame, forests: bool = False, most_rounds: int = 200)
     """
     now = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     now = now if forests else map_arrow(now, _forest_edges, "a long, b long")
-    now = checkpoint(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    now = checkpoint(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(most_rounds):
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
