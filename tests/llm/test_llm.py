@@ -605,8 +605,8 @@ def test_vectors(spark):
             least[forest.find(k)] = min(least.get(forest.find(k), i), i)
     want = [(i, links[k], least.get(forest.find(k)), i is not None and i == least.get(forest.find(k))) for k, (i, _, _) in enumerate(rows)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    for tile in (2048, 5):
-        assert sorted(map(tuple, neardup_vectors.near_duplicates(df, tile=tile).collect()), key=str) == sorted(want, key=str)
+    for tile, sparse in ((2048, 4), (5, 0), (5, 1000), (40, 0.5)):
+        assert sorted(map(tuple, neardup_vectors.near_duplicates(df, tile=tile, sparse=sparse).collect()), key=str) == sorted(want, key=str)
     assert neardup_vectors.near_duplicates(df.limit(0)).count() == 0
     assert neardup_vectors.near_duplicates(df.where("label is null")).count() == 16
 
