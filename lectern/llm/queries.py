@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import archive, language, licenses, mixing, neardup_vectors, packing, simhash, spotsigs, substrings, urls
+from lectern.llm import archive, bytepairs, language, licenses, mixing, neardup_vectors, packing, periodic, phrases, simhash, spotsigs, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    return bytepairs.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(ranks), public_tokenizers.PATTERN)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.repeated(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op1_license_scan_all": op1_license_scan_all,
@@ -79,12 +91,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_shards": op8_mixing_shards,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_language_id": op10_language_id,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
     "op2_spotsigs": spotsigs.oracle(),
     "op5_url_filter": urls.oracle(),
+    "op13_collocations": phrases.oracle(),
     "op6_warc_archive": """
         with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
         o as (select h, max(page_id) as owner from p group by h)
