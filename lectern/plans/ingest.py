@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import html, text
-from lectern.operators import chunker, store
+from lectern.functions.folders import shared_dir
+from lectern.operators import chunker, governed, ledger, store
+from lectern.operators.tablelog import TableLog, merged
 from lectern.plans.registry import query
 from lectern.plans.tables import table
 from lectern.sources import loaders
@@ -58,8 +62,48 @@ def document_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select v.vec_id, case when v.vec_id % 3 = 0 then n.embedding[1] else v.embedding[1] end as first from embeddings v join embeddings n on n.vec_id = (v.vec_id // 3) * 3")
 def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors stored in buckets, then every third upserted: only the buckets it falls into are written again."""
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return store.upserted_vectors(rows, rows.where("vec_id % 3 = 0"), "vec_id").select("vec_id", F.col("embedding")[0].alias("first"))
+    log = TableLog(spark, _store(spark))
+    for k, part in enumerate((rows, rows.where("vec_id % 3 = 0"))):
+        log.commit(lambda base, k=k, part=part: merged(log, "vectors", base, part.withColumn("seq", F.lit(k)), "vec_id", "seq"))
+    return log.read("vectors", log.version()).select("vec_id", F.col("embedding")[0].alias("first"))
+
+
+def _store(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+@query("""with kept as (select doc_id from (select doc_id, row_number() over (partition by sha256(text) order by doc_id % 2, doc_id) as place from documents) where place = 1),
+    freed as (select doc_id from kept where doc_id % 17 = 0 order by doc_id limit 3), moved as (select doc_id from kept order by doc_id desc limit 3)
+    select doc_id, case when doc_id in (select doc_id from moved) then ['staff'] else ['public'] end as acl_tags, doc_id % 17 = 0 and doc_id not in (select doc_id from freed) as quarantined,
+        2 + (select count(*) from freed) + (select count(*) from moved) as ledger_rows, true as ledger_ok from kept""")
+def governed_store(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and chunks ingested in two batches of which the second repeats the first, then chunks released and documents retagged: each a version with its ledger rows."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"), F.array(F.lit("public")).alias("acl_tags"))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "acl_tags", (F.col("doc_id") % 17 == 0).alias("quarantined"))
+    log = TableLog(spark, _store(spark))
+    governed.ingest(log, docs.where("doc_id % 2 = 0"), chunks, "nightly")
+    governed.ingest(log, docs, chunks, "nightly")
+    stored = log.read("chunks", log.version())
+    governed.release(log, [r[0] for r in stored.where("quarantined").orderBy("chunk_id").limit(3).select("chunk_id").collect()], "admin")
+    governed.retag(log, {r[0]: ["staff"] for r in stored.orderBy(F.desc("doc_id")).limit(3).select("doc_id").collect()}, "admin")
+    now = log.version()
+    told = ledger.verify(log.read("ledger", now)).select(F.col("checked").alias("ledger_rows"), F.col("ok").alias("ledger_ok"))
+    return log.read("chunks", now).select("doc_id", "acl_tags", "quarantined").crossJoin(F.broadcast(told))
+
+
+@query("select 'r' || (event_id % 4000) as request_id, max(event_id) as id, arg_max(event_type, event_id) as mode from events group by 1 having max(event_id) % 6 <> 5")
+def log_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A request log kept by keyed merges in three batches, of which the second is older than the first; some requests are deleted by their last row."""
+    rows = table(spark, d, "events").select(F.concat(F.lit("r"), (F.col("event_id") % 4000).cast("string")).alias("request_id"), F.col("event_id").alias("id"), F.col("event_type").alias("mode"))
+    log = TableLog(spark, _store(spark))
+    for k in (1, 0, 2):
+        part = rows.where(F.col("id") % 3 == k)
+        log.commit(lambda base, part=part: merged(log, "requests", base, part, "request_id", "id"))
+    last = log.read("requests", log.version()).where("id % 6 = 5").withColumn("gone", F.lit(True))
+    log.commit(lambda base: merged(log, "requests", base, last, "request_id", "id", delete="gone"))
+    return log.read("requests", log.version())
 
 
 @query("select doc_id, case when doc_id % 4 = 2 then [2] else [(doc_id % 4)::int, 2] end as cited from documents")

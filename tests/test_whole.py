@@ -1,14 +1,9 @@
 """Queries that take whole inputs, on rows where a cut would show."""
 
-import re
-
-import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lectern.llm import licenses, mixing, packing, urls
-from lectern.llm.license_texts import TEMPLATES
 from lectern.operators import ledger
 from lectern.plans.registry import QUERIES
 from lectern.plans.tables import ledger_all
@@ -74,80 +69,3 @@ def test_citations_are_linked_in_whole_pages(spark, tmp_path):
     pq.write_table(pa.table({"page_id": pa.array([1], pa.int64()), "html": ["a" * 5000 + " & [7] end"]}), f"{tmp_path}/pages.parquet")
     found = rows_of(spark, "cite_links_whole", str(tmp_path), "page_id")[1].body
     assert found == "a" * 5000 + ' &amp; <a class="cite" href="#source-7">[7]</a> end <a class="cite" href="#source-1">[1]</a>'
-
-
-PAGES = "page_id long, url string, html string"
-
-
-def verdicts(spark, pages):
-    return {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, PAGES)).collect()}
-
-
-def test_distrust_travels_any_number_of_links(spark):
-    chain = [(k, f"http://h{k}.test/", f"<a href='http://h{k - 1}.test/'>") for k in range(2, 16)]
-    found = verdicts(spark, [(1, "http://h1.test/", '<a href="//bad.org/z">'), (0, "http://bad.org/es/1", ""), *chain, (99, "http://alone.test/", "")])
-    assert found == {k: "block" for k in range(16)} | {99: "allow"}
-
-
-def test_verdicts_do_not_hang_on_the_size_of_the_table(spark):
-    many = [(100 + k, f"http://s{k}.org/es/1", "") for k in range(2000)]
-    thin = " ".join(f"<a href='http://t{k}.test/'>" for k in range(99))
-    chain = [(k, f"http://h{k}.test/", f"<a href='http://h{k - 1}.test/'>{thin}") for k in range(2, 6)]
-    others = [(10 + k, f"http://x{k}.test/", " ".join(f"<a href='http://h{j}.test/'>" for j in range(1, 6))) for k in range(80)]
-    pages = [(0, "http://bad.org/es/1", ""), (1, "http://h1.test/", f"<a href='http://bad.org/'>{thin}"), *chain, *others]
-    assert {k: v for k, v in verdicts(spark, pages + many).items() if k < 6} == {k: "block" for k in range(6)}
-
-
-def brute_licences(text):
-    found = {}
-    words = re.findall("[a-z0-9]+", text.lower())
-    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    for name, template in TEMPLATES:
-        g, n = set(licenses.bigrams(template)), len(re.findall("[a-z0-9]+", template.lower())) - 1
-        for i in range(len(pairs)):
-            for j in range(i + 1, min(i + n, len(pairs)) + 1):
-                w = set(pairs[i:j]) if j == min(i + n, len(pairs)) or pairs[j - 1] in g else set()
-                dice = round(2 * len(w & g) / (len(w) + len(g)), 6)
-                if dice >= licenses.THRESHOLD and pairs[i] in g:
-                    found[name] = max(found.get(name, 0), dice)
-    return found
-
-
-def test_licences_inside_longer_texts(spark):
-    by = {}
-    for name, text in TEMPLATES:
-        by.setdefault(name, []).append(text)
-    long = {n: max(t, key=len) for n, t in by.items()}
-    mit = long["MIT"].split()
-    paragraphs = "\n\n".join(" ".join(mit[i : i + len(mit) // 3 + 1]) for i in range(0, len(mit), len(mit) // 3 + 1))
-    prose = "We walked along the river and talked of the house. " * 20
-    other = next(n for n in sorted(long) if n != "MIT")
-    texts = [prose + "\n\n" + paragraphs, "Copyright 2024 Acme Ltd. Released under the MIT License. Enjoy it.", paragraphs + "\n\n" + prose + long[other], prose, None, ""]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {}
-    for r in licenses.scan_all(rows).collect():
-        found.setdefault(r.doc_id, {})[r.license] = r.dice
-    assert "MIT" in found[0] and "MIT" in found[1] and {"MIT", other} <= set(found[2])
-    assert found[3] == found[4] == found[5] == {None: None}
-    for k in (0, 1):
-        want = brute_licences(texts[k])
-        assert set(want) == set(found[k]) and all(found[k][n] >= want[n] - 1e-9 for n in ("MIT",))
-
-
-def test_mix_comes_in_shards(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 64)
-    rows = spark.read.parquet(f"{DATA}/documents.parquet")
-    out = mixing.mixed_shards(rows, block=16).toPandas()
-    want = {r.doc_id: r.taken for r in mixing.mix(rows, block=16).collect() if r.taken}
-    assert out.text.map(lambda t: len(t.encode().split())).groupby(out.doc_id).sum().to_dict() == want
-    assert out.shard.nunique() > 1 and (out.groupby("shard").place.max() == out.groupby("shard").size()).all() and not out.duplicated(["shard", "place"]).any()
-    assert out.groupby("shard").source.nunique().max() > 1
-    again = mixing.mixed_shards(rows.repartition(7), block=16).toPandas()
-    order = ["shard", "place", "doc_id", "text"]
-    assert out[order].sort_values(order[:2]).values.tolist() == again[order].sort_values(order[:2]).values.tolist()
-
-
-def test_every_sentence_end_is_a_cut():
-    ids = np.array([0, 1] * 20)
-    at, _ = packing.cuts_of(ids, np.array([40]), np.array([False, True]))
-    assert at == [0, *range(2, 41, 2)]
