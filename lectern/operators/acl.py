@@ -26,6 +26,14 @@ def normalised_tags(tags: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, PUBLIC)))
 
 
+def given_tags(tags: list[str] | None) -> list[str]:
+    """The tags that an ingest gives its documents: none at all is `public`, a list that names none is an error."""
+    found = sorted({t.strip() for t in tags or () if t.strip()})
+    if tags is not None and not found:
+        raise ValueError("a list of tags must name one")
+    return found or list(PUBLIC)
+
+
 def may_see(row_tags: Column, user_tags: Column, quarantined: Column) -> Column:
     return F.coalesce(F.arrays_overlap(row_tags, user_tags), F.lit(False)) & ~F.coalesce(quarantined, F.lit(True))
 

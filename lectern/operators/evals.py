@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.folders import checkpoint
 from lectern.functions.text import squashed
 
 DIGITS = 9
@@ -37,6 +38,35 @@ def _mean(name: str) -> Column:
     return F.round(F.avg(name), DIGITS)
 
 
+def exact_percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """group and a column for each share (name: share from 0 to 1): its exact percentile of value, between two values by their distance.
+
+    Distinct values with their counts are dealt out in ranges of (group, value); sums of ranges, then of values within a range, give every value
+    its places, and only the values at the asked places are kept.  So a huge group is the work of many tasks, and no task holds a group.
+    Nulls don't count; a group without a value has nulls.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    # Which range a value is in must not change between uses.
+    dealt = checkpoint(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("g", "part").agg(F.sum("n").alias("all")).withColumns({"offset": F.coalesce(F.sum("all").over(before), F.lit(0)), "total": F.sum("all").over(Window.partitionBy("g"))})
+    told = dealt.alias("d").join(sums.alias("s"), (F.col("d.g").eqNullSafe(F.col("s.g"))) & (F.col("d.part") == F.col("s.part"))).select("d.g", "d.part", "v", "n", "offset", "total")
+    inside = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = told.withColumn("end", F.col("offset") + F.sum("n").over(inside))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place < F.col("end")) & (place >= F.col("end") - F.col("n")), F.col("v")))
+
+    def percentile(share: float) -> Column:
+        place = F.lit(share) * (F.max("total") - 1)
+        low, high = (at(f(F.lit(share) * (F.col("total") - 1))) for f in (F.floor, F.ceil))
+        return F.when(F.floor(place) == F.ceil(place), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    found = placed.groupBy("g").agg(*(percentile(share).alias(name) for name, share in shares.items()))
+    every = rows.select(F.col(group).alias("key")).distinct()
+    return every.join(found, F.col("key").eqNullSafe(F.col("g")), "left").select(F.col("key").alias(group), *shares)
+
+
 def summary(items: DataFrame) -> DataFrame:
     """One row over all items: counts, rates over the items that a check applies to, latency and tokens."""
     passed = F.coalesce("must_include_pass", F.lit(True)) & F.coalesce("must_not_include_pass", F.lit(True)) & F.col("error").isNull()

@@ -41,6 +41,12 @@ def host_problem(url: Column, hosts: list[str] | None) -> Column:
     return F.when(partial, "not a full http or https address").when(outside, "host outside the allowlist")
 
 
+def quarantined(chunks: DataFrame, documents: DataFrame, columns: list[str]) -> DataFrame:
+    """chunk_id, doc_id, acl_tags of the chunks in quarantine, with columns of their documents; null ones for a document that isn't there."""
+    held = chunks.where("quarantined").select("chunk_id", "doc_id", "acl_tags")
+    return held.join(documents.select("doc_id", *columns), "doc_id", "left").select("chunk_id", "doc_id", "acl_tags", *columns)
+
+
 def released(chunks: DataFrame, ids: list[int], key: str = "chunk_id") -> DataFrame:
     """chunks with the given ones out of quarantine; the reason stays."""
     return chunks.withColumn("quarantined", F.col("quarantined") & ~F.col(key).isin(ids) if ids else F.col("quarantined"))

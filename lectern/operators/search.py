@@ -79,6 +79,19 @@ def _best(score: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(score, order, axis=1), np.take_along_axis(keys, order, axis=1)
 
 
+def passages(hits: DataFrame, chunks: DataFrame, questions: DataFrame, limit: int = 400, key: str = "doc_id") -> DataFrame:
+    """query_id, rank, key, label, passage of hits (query_id, key, rank), their text on one line and cut to limit characters.
+
+    Whether the asker may see a chunk is looked up again, whatever made the hits; ranks of those that are left count from 1.  Chunks have title,
+    source, page and heading besides key, text, acl_tags and quarantined; those that aren't there are null.
+    """
+    label = [F.col(c) if c in chunks.columns else F.lit(None).cast(t) for c, t in (("title", "string"), ("source", "string"), ("page", "int"), ("heading", "string"))]
+    told = chunks.select(key, "acl_tags", "quarantined", text.source_label(*label).alias("label"), text.snippet(F.col("text"), limit).alias("passage"))
+    rows = hits.select("query_id", key, F.col("rank").alias("place")).join(questions.select("query_id", "user_tags"), "query_id").join(told, key)
+    rows = rows.where(may_see(F.col("acl_tags"), F.col("user_tags"), F.col("quarantined")))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place", key)).cast("long")).select("query_id", "rank", key, "label", "passage")
+
+
 def shaped(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """query_id, hits: a JSON array of each question's hits (rank, key, score to four places, title, snippet) in order of rank; columns that aren't there are left out."""
     told = [c for c in ("rank", key, "title", "snippet") if c in hits.columns]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.functions.folders import shared_dir
-from lectern.operators import acl, evals, inverted, search
+from lectern.operators import acl, evals, inverted, layout, policy, search
 from lectern.plans.registry import query
 from lectern.plans.tables import DOCS_ACL, GOLDEN, QUESTIONS, VEC_ACL, docs_acl, golden, questions, table, vec_acl
 
@@ -259,7 +259,29 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, quantile_cont(value, 0.5) as p50, round(quantile_cont(value, 0.95), 9) as p95 from events group by event_type")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.round(F.percentile("value", 0.95), 9).alias("p95"))
+    return evals.exact_percentiles(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}).withColumn("p95", F.round("p95", 9))
+
+
+@query(f"with {DOCS_ACL} select doc_id, acl_tags, quarantined from docs_acl where list_has_any(acl_tags, ['public']) and not quarantined")
+def acl_layout(spark: SparkSession, d: str) -> DataFrame:
+    """As acl_filter, from a table laid out by tag set: other sets' folders aren't listed."""
+    laid = layout.ByTagSet.write(docs_acl(spark, d).select("doc_id", "acl_tags", "quarantined"), f"{shared_dir(spark).rstrip('/')}/acl-{uuid.uuid4().hex}")
+    return laid.visible(["public"])
+
+
+FLAT = "trim(regexp_replace(d.text, '\\s+', ' ', 'g'))"
+
+
+@query(f"with {BM25} select b.query_id, b.rank, b.doc_id, d.source as label, case when length({FLAT}) <= 400 then {FLAT} else rtrim(substr({FLAT}, 1, 399)) || '…' end as passage from bm25 b join documents d using (doc_id) where rank <= 5")
+def search_docs_passages(spark: SparkSession, d: str) -> DataFrame:
+    asked = questions(spark, d)
+    return search.passages(bm25_kept(spark, d, asked, 5), docs_acl(spark, d), asked)
+
+
+@query(f"with {VEC_ACL} select v.chunk_id, v.chunk_id // 2 as doc_id, v.acl_tags, d.source, d.lang from vec_acl v left join documents d on d.doc_id = v.chunk_id // 2 where quarantined")
+def quarantine_documents(spark: SparkSession, d: str) -> DataFrame:
+    chunks = vec_acl(spark, d).withColumn("doc_id", F.expr("chunk_id div 2"))
+    return policy.quarantined(chunks, table(spark, d, "documents"), ["source", "lang"])
 
 
 #: A baseline to hold the summary against.  Fixed test values.
