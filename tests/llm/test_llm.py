@@ -44,13 +44,15 @@ OPERATORS = {
     "simhash": simhash.near_duplicates,
     "keep_one": simhash.keep_one,
     "language": language.identify,
+    "licenses_all": licenses.scan_all,
+    "mixed_shards": mixing.mixed_shards,
 }
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_hard_rows(spark, name):
     rows = OPERATORS[name](hard(spark)).collect()
-    if name not in ("packing", "mixed", "keep_one"):
+    if name not in ("packing", "mixed", "keep_one", "licenses_all", "mixed_shards"):
         assert len(rows) == 12
 
 
@@ -59,6 +61,27 @@ def test_empty_table(spark, name):
     assert OPERATORS[name](docs_of(spark, [])).count() == 0
 
 
+def test_hard_pages(spark):
+    long = "http://long.test/" + "a" * 200_000
+    rows = [(1, None, None), (2, "", ""), (2, "no scheme", "<a href='http://x.org/es/'>"), (3, "HTTP://EXAMPLE.com/en/7", None), (3, "HTTP://EXAMPLE.com/en/7", None), (None, "http://a.net/de/", "x"), (4, long, "<a href='//b.test/'>" * 20_000), (5, "://", "\x00"), (6, "http://b.test?x#y", "é")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("host", "path", "rule", "verdict", "score", "src", "dst", "kind", "a.b")})
+    found = urls.judge(df).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert len(found) == len(rows) and {r.verdict for r in found} <= {"allow", "block"}
+    assert [(r.host, r.rule, r.verdict) for r in found if r.page_id == 3] == [("example.com", "example.com/en/7", "allow")] * 2
+    assert [(r.host, r.path) for r in found if r.page_id == 1] == [("", "")]
+    assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_hard_vectors(spark):
+    one = [1.0, 0.0, 0.0, 0.0]
+    rows = [(1, one, 1), (2, one, 1), (2, one, 1), (3, one, None), (None, one, 1), (4, None, 1), (5, [0.0] * 4, 1), (6, [float("nan"), 1.0, 0.0, 0.0], 1), (7, [None, 1.0, 0.0, 0.0], 1), (8, [2.0, 0.0, 0.0, 0.0], 1), (9, one, 2), (10, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(c) for c in ("n_links", "kept", "component_id", "cell", "tile", "a.b")})
+    found = neardup_vectors.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()
+    by = {r.vec_id: r for r in found}
+    assert len(found) == len(rows) and by[1].component_id == by[8].component_id == 1 and by[9].n_links == by[3].n_links == by[5].n_links == by[6].n_links == by[7].n_links == 0
+    assert neardup_vectors.near_duplicates(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_and_sql_agree(spark, name):
     same(duck(), queries.QUERIES[name](spark, DATA), queries.ORACLES[name])
