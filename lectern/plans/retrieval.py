@@ -72,7 +72,8 @@ def kept_index(spark: SparkSession, d: str) -> inverted.InvertedIndex:
     files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
     stamp = hashlib.md5(repr(sorted(map(tuple, files))).encode()).hexdigest()
     name = (spark.sparkContext.applicationId, stamp)
-    if name not in _KEPT:
+    # The shared folder may have been cleared since.
+    if name not in _KEPT or not _KEPT[name].log.number():
         index = inverted.InvertedIndex(spark, f"{shared_dir(spark).rstrip('/')}/bm25-{name[0]}-{stamp}")
         if not index.log.number():
             index.add(table(spark, d, "documents").select("doc_id", "text"))
