@@ -28,14 +28,14 @@ def totals(log: DataFrame) -> DataFrame:
     )
 
 
-def _judged(name: str) -> Column:
+def judged(name: str) -> Column:
     return F.get_json_object("judge", f"$.{name}").try_cast("double")
 
 
 def daily(log: DataFrame) -> DataFrame:
     """A row for each day: requests, refused, mean latency and mean judge scores where there are any."""
     return log.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
-        F.count("*").alias("requests"), F.count_if("refused").alias("refused"), F.round(F.avg("latency_ms"), DIGITS).alias("avg_latency_ms"), F.round(F.avg(_judged("groundedness")), DIGITS).alias("groundedness"), F.round(F.avg(_judged("relevance")), DIGITS).alias("relevance")
+        F.count("*").alias("requests"), F.count_if("refused").alias("refused"), F.round(F.avg("latency_ms"), DIGITS).alias("avg_latency_ms"), F.round(F.avg(judged("groundedness")), DIGITS).alias("groundedness"), F.round(F.avg(judged("relevance")), DIGITS).alias("relevance")
     )
 
 

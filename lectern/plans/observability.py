@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import ledger, observe, policy
+from lectern.functions.folders import shared_dir
+from lectern.operators import ledger, observe, policy, rollup
+from lectern.operators.tablelog import TableLog
 from lectern.plans.registry import query
 from lectern.plans.tables import LEDGER, LEDGER_ALL, REQLOG, ledger_all, ledger_rows, reqlog, table
 
@@ -35,6 +39,17 @@ def log_daily(spark: SparkSession, d: str) -> DataFrame:
     return observe.daily(reqlog(spark, d))
 
 
+@query(f"""with {REQLOG.replace("reqlog as (", "every as (", 1)}, reqlog as (select * from every qualify row_number() over (partition by request_id order by id desc) = 1 and id % 6 <> 5), {DAILY[len(REQLOG) + 2 :]} select * from da""")
+def log_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """The daily rollup kept through three batches, of which the second is older than the first, and through deletions."""
+    rows = reqlog(spark, d).select("request_id", "id", "ts", "mode", "refused", "latency_ms", "judge")
+    log = TableLog(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
+    for k in (1, 0, 2):
+        rollup.apply(log, rows.where(F.col("id") % 3 == k))
+    rollup.apply(log, log.read(rollup.REQUESTS, log.version()).where("id % 6 = 5").withColumn("gone", F.lit(True)), delete="gone")
+    return rollup.daily(log)
+
+
 TREND = f"""{DAILY}, spine as (select strftime(unnest(generate_series(timestamp '2024-01-23', timestamp '2024-02-05', interval 1 day)), '%Y-%m-%d') as day),
     tr as (select day, coalesce(requests, 0) as requests, round(100.0::double * refused / requests, 1) as refusal_rate, round(avg_latency_ms, 0) as latency, round(groundedness, 3) as groundedness, round(relevance, 3) as relevance from spine left join da using (day))"""
 
