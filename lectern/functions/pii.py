@@ -1,19 +1,17 @@
 """Personal data in texts: e-mail, Australian phone and tax numbers, Medicare, business numbers, payment cards.
 
-Check digits and single-kind flags are DataFrame functions; spans of all kinds without overlap need positions and run in Arrow.
+All of it is DataFrame functions.  A span's place comes from the lengths of a text's matches and of what lies between them; the spans of all
+kinds are then sorted and folded.  Running sums, folds and redaction work on groups of `GROUP` values, as adding to an array copies it.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import functools
+import sys
+import unicodedata
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from lectern.functions.shipping import map_arrow
 
 # Formats, check-digit weights, order of precedence.
 PATTERNS = {
@@ -27,6 +25,7 @@ PATTERNS = {
 TFN9, TFN8 = (1, 4, 3, 7, 5, 8, 6, 9, 10), (10, 7, 8, 4, 6, 3, 5, 1)
 MEDICARE, ABN = (1, 3, 7, 9, 1, 3, 7, 9), (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)
 PRECEDENCE = ("email", "credit_card", "abn", "medicare", "tfn", "phone_au")
+GROUP = 256
 
 
 def digits(text: Column) -> Column:
@@ -77,60 +76,118 @@ def redacted_kind(text: Column, kind: str) -> Column:
     return F.regexp_replace(text, "(?U)" + PATTERNS[kind], f"[REDACTED:{kind}]")
 
 
-def _digit_sum(number: str, weights: tuple[int, ...]) -> int:
-    return sum(int(d) * w for d, w in zip(number, weights, strict=False))
+def _java(kind: str) -> str:
+    """A kind's pattern with classes of all scripts spelled out: letters, numbers and _; decimal digits; white space and separators."""
+    return PATTERNS[kind].replace(r"[\s-]", r"[\s\x1c-\x1f\x85\p{Z}-]").replace(r"\w", r"\p{L}\p{N}_").replace(r"\d", r"\p{Nd}")
+
+
+@functools.cache
+def _other_digits() -> tuple[str, str]:
+    """Decimal digits of other scripts, and what they are in ASCII."""
+    every = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.decimal(c, None) is not None]
+    return "".join(every), "".join(str(unicodedata.decimal(c)) for c in every)
+
+
+def _valid(found: Column, kind: str) -> Column:
+    """Whether the check digits of a match are right; kinds without any always are."""
+    if kind not in NATIVE:
+        return F.lit(True)
+    return NATIVE[kind](digits(F.when(found.rlike(r"[^\x00-\x7f]"), F.translate(found, *_other_digits())).otherwise(found)))
+
+
+def _bound(value: Column, f) -> Column:
+    """f(value) with value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _groups(values: Column) -> Column:
+    """An array cut into arrays of GROUP values."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / GROUP).cast("int")), lambda g: F.slice(values, g * GROUP + 1, F.lit(GROUP)))
+    return F.when(F.size(values) > 0, cut).otherwise(F.slice(F.array(values), F.lit(1), F.lit(0)))
+
+
+def _running(values: Column) -> Column:
+    """The sums of an array's first 1, 2, ... values."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def last(a: Column) -> Column:
+        return F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+
+    def summed(a: Column) -> Column:
+        return F.aggregate(a, none, lambda sums, x: F.concat(sums, F.array(last(sums) + x)))
+
+    def joined(inner: Column) -> Column:
+        return _bound(summed(F.transform(inner, last)), lambda ends: F.flatten(F.transform(inner, lambda sums, g: F.transform(sums, lambda x: x + F.coalesce(F.get(ends, g - 1), F.lit(0))))))
 
+    return _bound(F.transform(_groups(values), summed), joined)
 
-def _valid(kind: str, found: str) -> bool:
-    n = re.sub(r"\D", "", found)
-    if kind == "tfn":
-        return len(set(n)) > 1 and len(n) in (8, 9) and _digit_sum(n, TFN9 if len(n) == 9 else TFN8) % 11 == 0
-    if kind == "medicare":
-        return len(n) in (10, 11) and n[0] in "23456" and _digit_sum(n, MEDICARE) % 10 == int(n[8])
-    if kind == "abn":
-        return len(n) == 11 and n[0] != "0" and (_digit_sum(n, ABN) - ABN[0]) % 89 == 0
-    if kind == "credit_card":
-        return len(n) >= 13 and sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(n)))) % 10 == 0
-    return True
 
+def _places(text: Column, kind: str) -> Column:
+    """start, -end and precedence of each match of a kind whose check digits are right."""
+    pattern = _java(kind)
+    rank = PRECEDENCE.index(kind)
+    none = F.expr("cast(array() as array<struct<start:int,back:int,kind:int>>)")
 
-_COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
+    def placed(found: Column) -> Column:
+        lengths = F.transform(found, F.length)
+        ends = _running(F.zip_with(F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(found)), lengths, lambda gap, n: gap + n))
+        spot = F.zip_with(found, ends, lambda m, end: F.when(_valid(m, kind), F.struct((end - F.length(m)).alias("start"), (-end).alias("back"), F.lit(rank).alias("kind"))))
+        return F.when(F.exists(found, lambda m: _valid(m, kind)), F.filter(spot, lambda x: x.isNotNull())).otherwise(none)
 
+    return F.when(text.isNotNull(), _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 
-def spans(text: str | None, kinds: tuple[str, ...] = tuple(PATTERNS)) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, without overlap: of those that start first the longest, then by precedence."""
+
+def _apart(spots: Column) -> Column:
+    """Of sorted places those that don't overlap one kept before, in groups."""
+    kept = "array<struct<start:int,back:int,kind:int>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x["start"] >= acc["end"], F.struct((-x["back"]).alias("end"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+
+    def group(acc: Column, g: Column) -> Column:
+        inner = F.aggregate(g, F.struct(acc["end"].alias("end"), F.expr(f"cast(array() as {kept})").alias("kept")), step)
+        return _bound(inner, lambda r: F.struct(r["end"].alias("end"), F.concat(acc["kept"], F.array(r["kept"])).alias("kept")))
+
+    start = F.struct(F.lit(0).alias("end"), F.expr(f"cast(array() as array<{kept}>)").alias("kept"))
+    return F.filter(F.aggregate(_groups(spots), start, group)["kept"], lambda g: F.size(g) > 0)
+
+
+def spans(text: Column, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
+    """Groups of places (start, back, kind) in code points, without overlap: of those that start first the longest, then by precedence."""
     if unknown := set(kinds) - set(PATTERNS):
         raise ValueError(f"unknown kinds {sorted(unknown)}; there are {', '.join(PATTERNS)}")
-    found = [(m.start(), -m.end(), PRECEDENCE.index(k), k) for k in kinds for m in _COMPILED[k].finditer(text or "") if _valid(k, m[0])]
-    kept: list[tuple[str, int, int]] = []
-    for start, end, _, kind in sorted(found):
-        if not kept or start >= kept[-1][2]:
-            kept.append((kind, start, -end))
-    return kept
+    return _bound(F.array_sort(F.concat(*(_places(text, k) for k in kinds))), _apart)
+
+
+def _name(kind: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, PRECEDENCE)), kind + 1)
+
+
+def _redacted(text: Column, groups: Column) -> Column:
+    """The text with its places blotted out.  Each group's stretch is cut out of the text once."""
+
+    def end(g: Column) -> Column:
+        return -F.element_at(g, -1)["back"]
+
+    def blotted(g: Column, i: Column) -> Column:
+        low = F.coalesce(end(F.get(groups, i - 1)), F.lit(0))
+
+        def told(piece: Column) -> Column:
+            def one(x: Column, j: Column) -> Column:
+                at = F.coalesce(-F.get(g, j - 1)["back"], low)
+                return F.concat(F.substring(piece, at - low + 1, x["start"] - at), F.lit("[REDACTED:"), _name(x["kind"]), F.lit("]"))
+
+            return F.array_join(F.transform(g, one), "")
 
+        return _bound(F.substring(text, low + 1, end(g) - low), told)
 
-def redact_text(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
-    if text is None:
-        return None
-    parts, at = [], 0
-    for kind, start, end in found:
-        parts += [text[at:start], f"[REDACTED:{kind}]"]
-        at = end
-    return "".join([*parts, text[at:]])
+    rest = F.substring(text, end(F.element_at(groups, -1)) + 1, F.length(text))
+    return F.when(F.size(groups) > 0, F.concat(F.array_join(F.transform(groups, blotted), ""), rest)).otherwise(text)
 
 
 def detected(rows: DataFrame, column: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
-    """rows with findings (kind, start, end) and redacted."""
-    spans("", kinds)
-    names = rows.columns
-    finding = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(column).to_pylist()
-            found = [spans(t, kinds) for t in texts]
-            told = [[{"kind": k, "start": s, "end": e} for k, s, e in f] for f in found]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told, finding), pa.array(list(map(redact_text, texts, found)), pa.string())], [*names, "findings", "redacted"])
-
-    kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("findings", kind), T.StructField("redacted", T.StringType())]))
+    """rows with findings (kind, start, end) and redacted; a null text has no findings and stays null."""
+    text = F.col(column)
+    found = rows.withColumn("spans__", spans(text, kinds))
+    told = F.transform(F.flatten("spans__"), lambda x: F.struct(_name(x["kind"]).alias("kind"), x["start"].alias("start"), (-x["back"]).alias("end")))
+    return found.withColumns({"findings": told, "redacted": _redacted(text, F.col("spans__"))}).drop("spans__")

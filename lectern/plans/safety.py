@@ -140,6 +140,61 @@ def pii_phone_flag_whole(spark: SparkSession, d: str) -> DataFrame:
     return planted_whole(spark, d).select("doc_id", pii.has(F.col("body"), "phone_au").alias("has_phone"))
 
 
-@query()
+def _matches(kind: str) -> str:
+    """SQL: doc_id, kind, b, e, n of every place of a stretch where a match of a kind may begin, its end and its digits.
+
+    DuckDB's patterns can't look around, so the sign before a place is compared and the one after it is part of the pattern.
+    """
+    mail = kind == "email"
+    body = pii.PATTERNS[kind].removeprefix(r"(?<![\w.%+-])").removeprefix(r"(?<![\d+])").removeprefix(r"(?<!\d)").removesuffix(r"(?![\w-])").removesuffix(r"(?!\d)")
+    body, after = (body.replace(r"\w", r"\pL\pN_"), r"[^\pL\pN_-]") if mail else (body, "[^0-9]")
+    before = {"email": r"[\pL\pN_.%+-]", "phone_au": "[0-9+]"}.get(kind, "[0-9]")
+    source, first = ("mails", r"[\pL\pN_.%+-]") if mail else ("numbers", "[0-9+(]")
+    return rf"""select doc_id, '{kind}' as kind, pos + i as b, m, regexp_replace(m, '[^0-9]', '', 'g') as n from (
+        select doc_id, pos, i, regexp_extract(substr(s, i), '^({body})(?:$|{after})', 1) as m from (select *, unnest(range(1, length(s) + 1)) as i from {source})
+        where regexp_full_match(substr(s, i, 1), '{first}') and (i = 1 or not regexp_full_match(substr(s, i - 1, 1), '{before}'))) where m <> ''"""
+
+
+def _stretches(name: str, signs: str, having: str) -> str:
+    """SQL: doc_id, s, pos (code points before it) of the longest stretches of signs."""
+    return rf"""{name} as (select doc_id, s, pos from (select doc_id, k, s, (sum(length(gap) + length(s)) over (partition by doc_id order by k))::bigint - length(s) as pos from (
+        select doc_id, unnest(range(1, len(found) + 1)) as k, unnest(found) as s, unnest(gaps[:len(found)]) as gap from (select doc_id, regexp_extract_all(body, '{signs}') as found, string_split_regex(body, '{signs}') as gaps from planted))) where {having})"""
+
+
+def _chain(name: str, source: str, key: str) -> str:
+    """SQL: the rows of source (doc_id, kind, b, e, place by start) that follow one another without overlap, the first by place of each key."""
+    on = " and ".join(f"a.{c} = z.{c}" for c in key.split(", "))
+    return f"""{name}_next as materialized (select a.*, (select min(z.place) from {source} z where {on} and z.b >= a.e) as follows from {source} a),
+    {name} as (select * from {name}_next where place = 1 union all select a.* from {name} z join {name}_next a on {on} and a.place = z.follows)"""
+
+
+_LUHN = "list_sum(list_transform(range(1, length(n) + 1), lambda i: case when (length(n) - i) % 2 = 0 then substr(n, i, 1)::int when substr(n, i, 1)::int > 4 then 2 * substr(n, i, 1)::int - 9 else 2 * substr(n, i, 1)::int end)) % 10 = 0"
+
+
+def _checked(weights: tuple[int, ...], size: int) -> str:
+    """SQL: the weighted sum of n's digits; 0 if n is of another size."""
+    return f"case when length(n) = {size} then {_digits_sql(weights)} end"
+
+
+DETECT = rf"""with recursive {PLANTED_WHOLE},
+    {_stretches("numbers", r"[0-9+()\s-]+", "length(regexp_replace(s, '[^0-9]', '', 'g')) >= 8")},
+    {_stretches("mails", r"[\pL\pN_.%+@-]+", "contains(s, '@')")},
+    tried as materialized (select doc_id, kind, b - 1 as b, b - 1 + length(m) as e, n from ({" union all ".join(_matches(k) for k in pii.PATTERNS)})),
+    ofkind as materialized (select *, row_number() over (partition by doc_id, kind order by b) as place from tried),
+    {_chain("single", "ofkind", "doc_id, kind")},
+    valid as (select doc_id, kind, b, e from single where case kind
+        when 'tfn' then len(list_distinct(string_split(n, ''))) > 1 and coalesce({_checked(pii.TFN9, 9)}, {_checked(pii.TFN8, 8)}) % 11 = 0
+        when 'medicare' then regexp_full_match(n, '[2-6][0-9]{{9,10}}') and ({_digits_sql(pii.MEDICARE)}) % 10 = substr(n, 9, 1)::int
+        when 'abn' then substr(n, 1, 1) <> '0' and ({_checked(pii.ABN, 11)} - {pii.ABN[0]}) % 89 = 0
+        when 'credit_card' then {_LUHN} else true end),
+    ranked as materialized (select *, row_number() over (partition by doc_id order by b, e desc, list_position({list(pii.PRECEDENCE)}, kind)) as place from valid),
+    {_chain("apart", "ranked", "doc_id")},
+    parts as (select a.*, substr(body, coalesce(lag(e) over w, 0) + 1, b - coalesce(lag(e) over w, 0)) || '[REDACTED:' || kind || ']' as part from apart a join planted using (doc_id) window w as (partition by doc_id order by b)),
+    told as (select doc_id, list({{'kind': kind, 'start': b::int, 'end': e::int}} order by b) as findings, string_agg(part, '' order by b) as front, max(e) as upto from parts group by doc_id)
+    select p.doc_id, coalesce(findings, []) as findings, coalesce(front || substr(body, upto + 1), body) as redacted from planted p left join told using (doc_id)"""
+
+
+@query(DETECT)
 def pii_detect(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data of every document, whole, with its places and blotted out."""
     return pii.detected(planted_whole(spark, d), "body").select("doc_id", "findings", "redacted")

@@ -9,6 +9,7 @@ from lectern.functions import html, pii, screen, text
 from lectern.operators import acl, calculator, chunker, ledger, search, sqlguard, store
 from lectern.sources import loaders
 from lectern.streaming import ingest
+from tests import pii_loops
 
 
 def one(spark, column):
@@ -56,7 +57,7 @@ def test_no_tags_no_rows(spark):
 ])
 def test_numbers(spark, kind, told, yes):
     assert one(spark, pii.has(F.lit(f"no {told}."), kind)) is yes
-    assert any(k == kind for k, _, _ in pii.spans(f"no {told}.")) is yes
+    assert any(k == kind for k, _, _ in pii_loops.spans(f"no {told}.")) is yes
 
 
 def test_redaction(spark):
@@ -66,7 +67,24 @@ def test_redaction(spark):
     assert rows[0].redacted == "Mail [REDACTED:email], call [REDACTED:phone_au] or [REDACTED:phone_au]."
     assert rows[1].redacted is None
     with pytest.raises(ValueError, match="unknown"):
-        pii.spans("x", ("iban",))
+        pii.spans(F.lit("x"), ("iban",))
+
+
+def test_spans_are_those_of_loops(spark):
+    rng = random.Random(11)
+    parts = ["a.b@c.org", "x@y", "@", "é@ö.de", "0412 345 678", "+61 (0)2 1234 5678", "(02) 9876 5432", "4111 1111 1111 1111", "51 824 753 556", "2123 45670 1", "123 456 782", "12345677", "1", "12", "-", " ", "  ", "٣", "١٢٣ ٤٥٦ ٧٨٢",
+             "\x1c", "\u2003", "\x85", "🙂", "word", ".", "+", "(", ")", "²", "e\u0301", "\n"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    # More matches than a group of values holds, and none at all.
+    texts += ["", None, "plain", "Mail a@b.co now. " * 700 + "call 04 1234 5678", "123 456 782, " * 600, "123 456 789 " * 300]
+    rows = pii.detected(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t").collect()
+    for r in rows:
+        want = pii_loops.spans(texts[r.id])
+        assert [tuple(f) for f in r.findings] == want, texts[r.id]
+        assert r.redacted == pii_loops.redact_text(texts[r.id], want)
+    assert sum(len(r.findings) > 1 for r in rows) > 300
+    some = pii.detected(spark.createDataFrame([(texts[-3] + " 51 824 753 556",)], "t string"), "t", ("abn", "phone_au")).first()
+    assert [f.kind for f in some.findings] == ["phone_au", "abn"]
 
 
 def screen_of(spark, *texts):
