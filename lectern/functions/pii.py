@@ -102,8 +102,12 @@ def _bound(value: Column, f) -> Column:
 
 def _groups(values: Column) -> Column:
     """An array cut into arrays of GROUP values."""
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / GROUP).cast("int")), lambda g: F.slice(values, g * GROUP + 1, F.lit(GROUP)))
-    return F.when(F.size(values) > 0, cut).otherwise(F.slice(F.array(values), F.lit(1), F.lit(0)))
+
+    def cut(v: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / GROUP).cast("int")), lambda g: F.slice(v, g * GROUP + 1, F.lit(GROUP)))
+        return F.when(F.size(v) > 0, groups).otherwise(F.slice(F.array(v), F.lit(1), F.lit(0)))
+
+    return _bound(values, cut)
 
 
 def _running(values: Column) -> Column:
@@ -134,7 +138,15 @@ def _places(text: Column, kind: str) -> Column:
         spot = F.zip_with(found, ends, lambda m, end: F.when(_valid(m, kind), F.struct((end - F.length(m)).alias("start"), (-end).alias("back"), F.lit(rank).alias("kind"))))
         return F.when(F.exists(found, lambda m: _valid(m, kind)), F.filter(spot, lambda x: x.isNotNull())).otherwise(none)
 
-    return F.when(text.isNotNull(), _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
+    return _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
+def _found(text: Column, kinds: tuple[str, ...]) -> Column:
+    """The places of all kinds; texts without an at sign, or without a digit, aren't searched for what has one."""
+    none = F.expr("cast(array() as array<struct<start:int,back:int,kind:int>>)")
+    numbers = [_places(text, k) for k in kinds if k != "email"]
+    mails = F.when(F.contains(text, F.lit("@")), _places(text, "email")).otherwise(none) if "email" in kinds else none
+    return F.concat(mails, F.when(text.rlike(r"\p{Nd}"), F.concat(*numbers)).otherwise(none) if numbers else none)
 
 
 def _apart(spots: Column) -> Column:
@@ -156,7 +168,7 @@ def spans(text: Column, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
     """Groups of places (start, back, kind) in code points, without overlap: of those that start first the longest, then by precedence."""
     if unknown := set(kinds) - set(PATTERNS):
         raise ValueError(f"unknown kinds {sorted(unknown)}; there are {', '.join(PATTERNS)}")
-    return _bound(F.array_sort(F.concat(*(_places(text, k) for k in kinds))), _apart)
+    return _bound(F.array_sort(_found(text, kinds)), _apart)
 
 
 def _name(kind: Column) -> Column:
