@@ -3,13 +3,18 @@
 The text is checked for its form; Spark's parser then gives the plan, whose relations and functions must be on allowlists.  Functions that
 make large values out of small ones (repeat, space, lpad, sequence, array_repeat, ...) aren't.  The query runs over temporary views of the allowed
 tables in a session of its own.
+
+Before it runs, its plan is priced: bytes of the files that it reads, and pairs of rows that its joins without an equality compare.  What costs more
+than its `Budget` is refused.  Joins with an equality count as the larger side; a key that repeats on both sides makes more, which the time bounds.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import threading
+from dataclasses import dataclass
 
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +40,23 @@ class Refused(ValueError):
     """A query that isn't run."""
 
 
+@dataclass(frozen=True)
+class Budget:
+    """What a query may cost: bytes of files (as they are stored, all columns) and compared pairs."""
+
+    read_bytes: int = 1 << 44
+    pairs: int = 10**9
+
+
+@dataclass
+class Cost:
+    """What a query costs, at most: bytes of the files it reads, pairs that joins without an equality compare, and rows of the result if there is such a join."""
+
+    read_bytes: int = 0
+    pairs: float = 0
+    rows: float = 0
+
+
 def problem(sql: str, tables: list[str] | None, spark: SparkSession | None = None) -> str | None:
     """Why a query is refused, or None.  tables None: any."""
     text = _COMMENT.sub(" ", sql).strip()
@@ -79,7 +101,88 @@ def problem(sql: str, tables: list[str] | None, spark: SparkSession | None = Non
     return None
 
 
-def admitted(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFrame:
+_ONE_ROW, _LIMITS = ("HashAggregateExec", "SortAggregateExec", "ObjectHashAggregateExec"), ("LocalLimitExec", "GlobalLimitExec", "CollectLimitExec", "TakeOrderedAndProjectExec")
+_UNKEYED = ("CartesianProductExec", "BroadcastNestedLoopJoinExec")
+
+
+def _all(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def cost(df: DataFrame) -> Cost:
+    """A bound of what df costs, from its physical plan.
+
+    Rows of tables are counted only if a join without an equality needs them: of Parquet files that reads footers, of other tables what a
+    count reads.  Filters don't lower a bound, limits and aggregates without groups do.
+    """
+    told, seen = Cost(), {}
+    session = df.sparkSession._jsparkSession
+    rows_of = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    done = df._jdf.queryExecution()
+    # Subqueries that the optimiser didn't make joins are plans of their own.
+    plans = [done.sparkPlan(), *(rows_of(session, p).queryExecution().sparkPlan() for p in _all(done.optimizedPlan().subqueriesAll()))]
+
+    def kind(node) -> str:
+        return node.getClass().getSimpleName()
+
+    every, stack = [], list(plans)
+    while stack:
+        node = stack.pop()
+        every.append(node)
+        stack += _all(node.children())
+        if kind(node) == "FileSourceScanExec":
+            told.read_bytes += node.relation().location().sizeInBytes()
+    counting = any(kind(n) in _UNKEYED for n in every)
+
+    def table_rows(node) -> float:
+        if kind(node) == "LocalTableScanExec":
+            return node.rows().size()
+        if kind(node) == "FileSourceScanExec":
+            key = tuple(sorted(node.relation().location().inputFiles()))
+            if key not in seen:
+                seen[key] = session.baseRelationToDataFrame(node.relation()).count()
+            return seen[key]
+        link = node.logicalLink()
+        if link.isEmpty():
+            return math.inf
+        return rows_of(session, link.get()).count()
+
+    def rows(node) -> float:
+        name, below = kind(node), [rows(c) for c in _all(node.children())]
+        if name in _UNKEYED:
+            pairs = below[0] * below[1]
+            told.pairs += pairs
+            return pairs if node.joinType().sql() != "FULL OUTER" else pairs + sum(below)
+        if not below:
+            return table_rows(node)
+        if name == "UnionExec":
+            return sum(below)
+        if name in _ONE_ROW and node.groupingExpressions().isEmpty():
+            return 1
+        if name in _LIMITS:
+            return min(below[0], node.limit()) if node.limit() >= 0 else below[0]
+        if name == "ExpandExec":
+            return below[0] * node.projections().size()
+        if name in ("GenerateExec", "UnionLoopExec"):
+            return math.inf
+        return max(below)
+
+    if counting:
+        told.rows = [rows(p) for p in plans][0]
+    return told
+
+
+def within(df: DataFrame, budget: Budget) -> DataFrame:
+    """df, if its cost is within the budget; raises Refused."""
+    price = cost(df)
+    if price.read_bytes > budget.read_bytes:
+        raise Refused(f"the query reads {price.read_bytes} bytes; {budget.read_bytes} are allowed")
+    if price.pairs > budget.pairs:
+        raise Refused(f"joins without an equality compare up to {price.pairs:.0f} pairs; {budget.pairs} are allowed")
+    return df
+
+
+def admitted(spark: SparkSession, sql: str, views: dict[str, DataFrame], budget: Budget = Budget()) -> DataFrame:  # noqa: B008
     """The query's DataFrame over the views alone; raises Refused."""
     if why := problem(sql, list(views), spark):
         raise Refused(why)
@@ -89,7 +192,7 @@ def admitted(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> Data
     for name, df in views.items():
         rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
         DataFrame(rows, own).createOrReplaceTempView(name)
-    return own.sql(_COMMENT.sub(" ", sql).strip())
+    return within(own.sql(_COMMENT.sub(" ", sql).strip()), budget)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -111,9 +214,9 @@ def capped(df: DataFrame, rows: int = ROWS) -> tuple[list, bool]:
     return found[:rows], len(found) > rows
 
 
-def run(spark: SparkSession, sql: str, views: dict[str, DataFrame], rows: int = ROWS, seconds: float = SECONDS) -> dict:
+def run(spark: SparkSession, sql: str, views: dict[str, DataFrame], rows: int = ROWS, seconds: float = SECONDS, budget: Budget = Budget()) -> dict:  # noqa: B008
     """The answer: columns, rows, row_count, truncated.  The job is cancelled after the given time."""
-    df = admitted(spark, sql, views)
+    df = admitted(spark, sql, views, budget)
     tag, own = f"guarded-{threading.get_ident()}", df.sparkSession
     timer = threading.Timer(seconds, lambda: own.interruptTag(tag))
     own.addTag(tag)

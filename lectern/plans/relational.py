@@ -77,6 +77,35 @@ def sql_admission(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(found, "id int, problem string")
 
 
+#: Statements that are priced, and the pairs that they compare, as SQL.
+PRICED = (
+    ("select count(*) from lineitem a, lineitem b", "(select count(*) from lineitem) ** 2"),
+    ("select n_name, r_name from nation cross join region", "(select count(*) from nation) * (select count(*) from region)"),
+    ("select c_name, o_totalprice from customer join orders on c_custkey = o_custkey", "0"),
+    ("select count(*) from events a join events b on a.value < b.value", "(select count(*) from events) ** 2"),
+    ("select c_name from (select max(o_totalprice) as most from orders) cross join customer", "(select count(*) from customer)"),
+    ("select count(*) from (select * from lineitem limit 10) a, orders", "10 * (select count(*) from orders)"),
+    ("select c_custkey from customer where exists (select 1 from orders where o_totalprice > c_acctbal * 50)", "(select count(*) from customer) * (select count(*) from orders)"),
+    ("select count(*) from (select s_suppkey from supplier union all select p_partkey from part) a, nation", "((select count(*) from supplier) + (select count(*) from part)) * (select count(*) from nation)"),
+    ("select r_name, (select count(*) from nation a, nation b) as n from region", "(select count(*) from nation) ** 2"),
+)
+
+
+@query(f"select id, pairs, pairs <= {sqlguard.Budget().pairs} as admitted from (" + " union all ".join(f"select {i} as id, ({pairs})::double as pairs" for i, (_, pairs) in enumerate(PRICED)) + ")")
+def sql_cost(spark: SparkSession, d: str) -> DataFrame:
+    """The price of statements over the tables, and whether it is within the usual budget; none of them is run."""
+    views = {t: table(spark, d, t) for t in TABLES}
+    found = []
+    for i, (statement, _) in enumerate(PRICED):
+        price = sqlguard.cost(sqlguard.admitted(spark, statement, views, sqlguard.Budget(pairs=1 << 100)))
+        try:
+            sqlguard.admitted(spark, statement, views)
+            found.append((i, float(price.pairs), True))
+        except sqlguard.Refused:
+            found.append((i, float(price.pairs), False))
+    return spark.createDataFrame(found, "id int, pairs double, admitted boolean")
+
+
 @query("select l_orderkey, l_linenumber, (l_orderkey * 3 - l_partkey)::varchar as result from lineitem where l_orderkey % 50 = 1")
 def tools_calc(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").where("l_orderkey % 50 = 1").select("l_orderkey", "l_linenumber", F.concat(F.col("l_orderkey").cast("string"), F.lit(" * 3 - "), F.col("l_partkey").cast("string")).alias("expression"))

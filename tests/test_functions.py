@@ -222,6 +222,30 @@ def test_guard_caps_sizes_before_they_reach_the_driver(spark, monkeypatch):
     assert sqlguard.run(spark, "select x from t where x = 'b'", views)["rows"] == [["b"]]
 
 
+def test_costly_queries_are_refused_unrun(spark, tmp_path):
+    spark.range(300).write.parquet(f"{tmp_path}/a")
+    stored, local = spark.read.parquet(f"{tmp_path}/a"), spark.createDataFrame([(i,) for i in range(7)], "x int")
+    views = {"a": stored, "b": local}
+
+    def price(sql):
+        return sqlguard.cost(sqlguard.admitted(spark, sql, views, sqlguard.Budget(pairs=1 << 60)))
+
+    one = price("select * from a")
+    assert one.pairs == 0 and one.read_bytes > 0 and price("select count(*) from a s join a t on s.id = t.id").read_bytes == 2 * one.read_bytes
+    assert price("select * from a, b").pairs == 2100 and price("select * from a where id < 3 union all select x from b").pairs == 0
+    assert price("select * from (select id from a union all select x from b) s, b").pairs == 307 * 7
+    assert price("select * from (select id from a limit 5) s full join b on s.id < b.x").rows == 5 * 7 + 12
+    assert price("select x from b where x < (select count(*) from a s, a t)").pairs == 90000
+    # The second join compares what the first may make.
+    assert price("select count(*) from a s, b t, b u").pairs == 2100 + 2100 * 7
+    assert price("select count(*) from (select id % 3 as k, count(*) as n from a group by grouping sets ((id % 3), ())) s, b").pairs == 600 * 7
+    with pytest.raises(sqlguard.Refused, match="pairs"):
+        sqlguard.run(spark, "select count(*) from a, b", views, budget=sqlguard.Budget(pairs=2099))
+    with pytest.raises(sqlguard.Refused, match="bytes"):
+        sqlguard.run(spark, "select count(*) from a", views, budget=sqlguard.Budget(read_bytes=10))
+    assert sqlguard.run(spark, "select count(*) from a, b", views)["rows"] == [[2100]]
+
+
 def test_verdict_of_a_file(spark, tmp_path):
     rows = ledger.append(spark, [("a", "r1", {"b": 1}), ("b", None, "{}")])
     ledger.export(rows, str(tmp_path / "out"))
