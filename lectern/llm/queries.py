@@ -27,6 +27,10 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compared(table(spark, sf_dir, "documents"))
 
 
+def op2_spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op1_license_scan_all": op1_license_scan_all,
     "op2_spotsigs": op2_spotsigs,
+    "op2_spotsigs_classes": op2_spotsigs_classes,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_url_filter": op5_url_filter,

@@ -145,7 +145,7 @@ def jaccard_sets(text):
     return {hashlib.md5((f"{a}~{w} {x}" if a else f"{w} {x}").encode()).hexdigest()[:8] for a, w, x in some}
 
 
-def test_spotsigs_classes(spark):
+def test_spotsigs_classes(spark, tmp_path):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").toPandas()
     extra = [(10_000 + i, " ".join(t.split()[:-2])) for i, t in zip(rows.doc_id[:30], rows.text[:30], strict=True)]
     every = list(zip(rows.doc_id.tolist(), rows.text.tolist(), strict=True)) + extra
@@ -157,7 +157,8 @@ def test_spotsigs_classes(spark):
             a, b = sets[i], sets[j]
             if (not a and not b) or (a or b) and round(len(a & b) / max(1, len(a | b)), 6) >= 0.8:
                 forest.join(i, j)
-    found = spotsigs.near_duplicates(spark.createDataFrame(every, "doc_id long, text string")).collect()
+    spark.createDataFrame(every, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op2_spotsigs_classes"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.class_id for r in found} == {i: forest.find(i) for i in ids}
 
 
