@@ -138,6 +138,11 @@ def oracle() -> str:
         {near("f.a", "f.b")} as near_edited, {near("f.a", "x.a")} as near_next from f join f x on f.next_id = x.doc_id"""
 
 
+def _numbers(spots: Column) -> Column:
+    """Signatures as numbers of four bytes, in the same order."""
+    return F.transform(spots, lambda h: (F.conv(h, 16, 10).cast("long") - (1 << 31)).cast("int"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id of every row of docs (doc_id, text): class_id is the smallest doc_id reachable over likenesses of threshold or more.
 
@@ -145,17 +150,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     posted under its length partition and looked up under its own and the next; candidates are verified by their
     sets.  Texts without words are alike.  Null doc_ids are nobody's class unless all of a class are null.
     """
-    rows = checkpoint(docs.select("doc_id", signatures(F.col("text")).alias("spots")).withColumn("name", F.sha2(F.array_join("spots", ""), 256)))
+    # Likeness is rounded; pruning allows for that.
+    low = threshold - 10.0**-DIGITS
+    rows = checkpoint(docs.select("doc_id", signatures(F.col("text")).alias("spots")).withColumn("name", F.sha2(F.array_join("spots", ""), 256)).withColumn("spots", _numbers(F.col("spots"))))
     nodes = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("spots").alias("spots")).withColumn("node", F.monotonically_increasing_id()))
     sets = nodes.where(F.size("spots") > 0).select("node", "spots", F.size("spots").alias("n"))
     posts = sets.select("node", "n", F.explode("spots").alias("sig"))
-    often = posts.groupBy("sig").agg(F.count("*").alias("df"))
-    rank = Window.partitionBy("node").orderBy("df", "sig")
-    need = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    posts = posts.join(often, "sig").where("df > 1").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= need)
-    posts = posts.select("node", "n", "sig", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).alias("part"))
-    lookups = posts.select(F.col("node").alias("other"), F.col("n").alias("m"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    pairs = posts.join(lookups, ["sig", "part"]).where((F.col("n") >= F.col("m") * threshold - 1e-9) & (F.col("m") >= F.col("n") * threshold - 1e-9) & (F.col("node") != F.col("other")))
+    often = posts.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    here = Window.partitionBy("node")
+    need = F.col("n") - F.ceil(F.col("n") * low - 1e-9) + 1
+    # Signatures of one set alone are its rarest: they count in the rank, and need no rows.
+    alone = F.col("n") - F.count("*").over(here)
+    posts = posts.join(often, "sig").withColumn("k", F.row_number().over(here.orderBy("df", "sig")) + alone).where(F.col("k") <= need)
+    posts = posts.select("node", "n", "k", "sig", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / low)) + 1e-9).alias("part"))
+    lookups = posts.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("k").alias("l"), "sig", F.col("part").alias("own"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    once = (F.col("own") < F.col("part")) | (F.col("node") < F.col("other"))
+    sizes = (F.col("n") >= F.col("m") * low - 1e-9) & (F.col("m") >= F.col("n") * low - 1e-9)
+    # A near pair's first signature in common leaves it enough others: so many have places behind it in both sets.
+    left_over = 1 + F.least(F.col("n") - F.col("k"), F.col("m") - F.col("l")) >= (F.col("n") + F.col("m")) * (low / (1 + low)) - 1e-9
+    pairs = posts.join(lookups, ["sig", "part"]).where(once & sizes & left_over)
     pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     left, right = sets.select(F.col("node").alias("a"), F.col("spots").alias("x")), sets.select(F.col("node").alias("b"), F.col("spots").alias("y"))
     links = pairs.join(left, "a").join(right, "b").where(likeness(F.col("x"), F.col("y")) >= threshold).select("a", "b")
