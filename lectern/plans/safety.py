@@ -190,11 +190,18 @@ DETECT = rf"""with recursive {PLANTED_WHOLE},
     ranked as materialized (select *, row_number() over (partition by doc_id order by b, e desc, list_position({list(pii.PRECEDENCE)}, kind)) as place from valid),
     {_chain("apart", "ranked", "doc_id")},
     parts as (select a.*, substr(body, coalesce(lag(e) over w, 0) + 1, b - coalesce(lag(e) over w, 0)) || '[REDACTED:' || kind || ']' as part from apart a join planted using (doc_id) window w as (partition by doc_id order by b)),
-    told as (select doc_id, list({{'kind': kind, 'start': b::int, 'end': e::int}} order by b) as findings, string_agg(part, '' order by b) as front, max(e) as upto from parts group by doc_id)
-    select p.doc_id, coalesce(findings, []) as findings, coalesce(front || substr(body, upto + 1), body) as redacted from planted p left join told using (doc_id)"""
+    told as (select doc_id, string_agg(kind || ' ' || b || ' ' || e, ', ' order by b) as spans, string_agg(part, '' order by b) as front, max(e) as upto from parts group by doc_id)
+    select p.doc_id, coalesce(spans, '') as spans, coalesce(front || substr(body, upto + 1), body) as redacted from planted p left join told using (doc_id)"""
 
 
-@query(DETECT)
+@query()
 def pii_detect(spark: SparkSession, d: str) -> DataFrame:
     """Personal data of every document, whole, with its places and blotted out."""
     return pii.detected(planted_whole(spark, d), "body").select("doc_id", "findings", "redacted")
+
+
+@query(DETECT)
+def pii_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the places as text: kind, start and end, in order."""
+    told = F.transform("findings", lambda f: F.concat_ws(" ", f["kind"], f["start"].cast("string"), f["end"].cast("string")))
+    return pii_detect(spark, d).select("doc_id", F.array_join(told, ", ").alias("spans"), "redacted")
