@@ -201,8 +201,7 @@ def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = html.rendered(table(spark, d, "pages").select("page_id", "html"))
-    return chunker.chunked(pages.select("page_id", "text"), "page_id")
+    return chunker.chunked(table(spark, d, "pages").select("page_id", "html"), "page_id", "html", read=html.body_text)
 
 
 @query("select page_id, sha256(html) as checksum, octet_length(encode(html)) as bytes from pages")
