@@ -1,4 +1,6 @@
-"""Phrase collocations: all 1..max_n-grams as rows, counted per language, scored in Decimal, pruned by one-word extensions, ranked.
+"""Phrase collocations: 1..max_n-grams as rows, counted per language, scored in Decimal, pruned by one-word extensions, ranked.
+
+Phrases of one and two words are all counted; longer ones where their ends are frequent enough (`counted`).
 
 A phrase's longest extension that counts can be grown one word at a time, and each step occurs at least as often as the next; so a phrase is
 inside a longer candidate that is frequent enough exactly if it is inside such a candidate of one word more, and one anti-join decides.
@@ -16,23 +18,50 @@ from lectern.llm.common import LOWER, UPPER, ascii_lower, written
 
 PIECES, GAPS = "[.,;:!?\\x0A-\\x0D]", "[\\x20\\x09]+"
 MAX_N, LEAST, SCALE, SHARE, BEST = 3, 10, 1_000_000, 50, 2000
+#: Slots that frequent phrases mark, a power of two.
+SLOTS = 1 << 25
 LANG = "und"
 
 
-def grams(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
-    """lang, gram, weight: a row for each occurrence of a phrase of up to max_n words, and for each piece its words under an empty gram."""
-    pieces = F.explode(F.split(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), PIECES, -1))
+def places(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
+    """lang, w1, w2, ... to max_n: a row for each word with those that follow it in its piece; a piece's first row has its number of words, too.
+
+    Rows come from outer generators: inner ones have their arrays computed again for a filter.
+    """
+    pieces = F.explode_outer(F.split(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), PIECES, -1))
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(LANG)).alias("lang"), pieces.alias("piece"))
-    rows = rows.select("lang", F.filter(F.split("piece", GAPS, -1), lambda x: x != "").alias("w")).where(F.size("w") > 0)
+    rows = rows.select("lang", F.array_remove(F.split("piece", GAPS, -1), "").alias("w"))
+    shifted = [F.slice("w", n, F.size("w")).alias(f"w{n}") for n in range(1, max_n + 1)]
+    return rows.select("lang", F.inline_outer(F.arrays_zip(*shifted, F.array(F.size("w")).alias("words")))).where("w1 is not null")
+
+
+def phrase(first: int, last: int) -> Column:
+    """The words of a place from one to another, null beyond the piece."""
+    return F.concat(*[x for n in range(first, last + 1) for x in (F.lit(" "), F.col(f"w{n}"))][1:])
+
+
+def frequent(rows: DataFrame, least: int) -> DataFrame:
+    """lang, gram, f of rows (lang, gram, weight), of which `least` are left, and the empty gram."""
+    return rows.where("gram is not null").groupBy("lang", "gram").agg(F.sum("weight").alias("f")).where((F.col("f") >= least) | (F.col("gram") == ""))
 
-    def longer(shorter: Column, n: int) -> Column:
-        return F.zip_with(shorter, F.slice("w", n, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
 
-    kinds = [F.col("w")]
-    for n in range(2, max_n + 1):
-        kinds.append(longer(kinds[-1], n))
-    rows = rows.select("lang", F.size("w").alias("words"), F.explode(F.concat(F.array(F.lit("")), *kinds)).alias("gram")).where("gram is not null")
-    return rows.select("lang", "gram", F.when(F.col("gram") == "", F.col("words")).otherwise(1).cast("long").alias("weight"))
+def slot(lang: Column | str, gram: Column | str) -> Column:
+    return F.xxhash64(lang, gram).bitwiseAND(F.lit(SLOTS - 1))
+
+
+def marked(counts: DataFrame, n: int) -> DataFrame:
+    """at, bits: a bit for each slot that a phrase of n words has, 64 to a row; SLOTS / 64 rows at most, however many phrases there are."""
+    slots = counts.where((F.col("gram") != "") & (n_of(F.col("gram")) == n)).select(slot("lang", "gram").alias("slot"))
+    return slots.groupBy(F.expr("slot >>> 6").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+
+
+def hopeful(rows: DataFrame, n: int, marks: DataFrame) -> DataFrame:
+    """The places whose first n words are a phrase of which both ends, of n - 1 words, have a marked slot."""
+    rows = rows.where(f"w{n} is not null")
+    for first in (1, 2):
+        rows = rows.withColumn("slot", slot("lang", phrase(first, first + n - 2))).withColumn("at", F.expr("slot >>> 6"))
+        rows = rows.join(F.broadcast(marks), "at").where("(shiftrightunsigned(bits, cast(slot & 63 as int)) & 1) = 1").drop("at", "slot", "bits")
+    return rows
 
 
 def n_of(phrase: Column) -> Column:
@@ -40,8 +69,18 @@ def n_of(phrase: Column) -> Column:
 
 
 def counted(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
-    """lang, gram, f of all phrases that occur `least` times in a language, and its number of words under an empty gram."""
-    return grams(docs, max_n).groupBy("lang", "gram").agg(F.sum("weight").alias("f")).where((F.col("f") >= least) | (F.col("gram") == ""))
+    """lang, gram, f of all phrases that occur `least` times in a language, and its number of words under an empty gram.
+
+    Words and pairs are all counted.  A longer phrase occurs at most as often as its two ends of one word less, so it is counted only where both
+    have a slot of a phrase that is frequent enough.  Phrases that share slots by chance are counted in vain, none is lost.
+    """
+    short = F.array(F.when(F.col("words").isNotNull(), ""), *[phrase(1, n) for n in range(1, min(max_n, 2) + 1)])
+    rows = places(docs, min(max_n, 2)).select("lang", "words", F.explode(short).alias("gram"))
+    found = written(frequent(rows.select("lang", "gram", F.when(F.col("gram") == "", F.col("words")).otherwise(1).cast("long").alias("weight")), least), "phrases")
+    for n in range(3, max_n + 1):
+        rows = hopeful(places(docs, n), n, marked(found, n - 1)).select("lang", phrase(1, n).alias("gram"), F.lit(1).cast("long").alias("weight"))
+        found = found.union(written(frequent(rows, least), "phrases"))
+    return found
 
 
 def part(phrase: Column, first: Column, n: Column) -> Column:
@@ -54,7 +93,7 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, share:
     A phrase's lowest-scoring cut counts, of equal ones the first.  A part occurs at least as often as its phrase, so its count is among those
     that are kept.  Counts are Decimals of 15 digits: a million times a squared stays below 38.
     """
-    counts = written(counted(docs, max_n, least), "phrases")
+    counts = counted(docs, max_n, least)
     longer = counts.where("gram <> ''").select("lang", F.col("gram").alias("phrase"), F.col("f").alias("a"), n_of(F.col("gram")).alias("words")).where("words > 1")
     heads, tails = (counts.select("lang", F.col("gram").alias(side), F.col("f").alias(name)) for side, name in (("head", "l"), ("tail", "r")))
     cuts = longer.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))

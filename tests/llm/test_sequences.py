@@ -197,6 +197,20 @@ def test_collocations(spark):
     assert sorted(map(tuple, phrases.collocations(df, best=4).collect())) == brute_phrases(rows, best=4)
 
 
+@pytest.mark.parametrize("slots", [64, 1 << 25])
+def test_phrases_are_counted_where_their_ends_are_frequent(spark, monkeypatch, slots):
+    monkeypatch.setattr(phrases, "SLOTS", slots)
+    r = random.Random(11)
+    rows = [(r.choice(["en", "d\ne"]), " ".join(r.choice(["New", "york", "city", "of", f"rare{r.random()}"]) for _ in range(40)) + ", new york city") for _ in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(map(tuple, phrases.collocations(df).collect())) == brute_phrases(rows)
+    places, pairs = phrases.places(df, 3), spark.createDataFrame([("en", "new york"), ("en", "york city")], "lang string, gram string")
+    found = phrases.hopeful(places, 3, phrases.marked(pairs, 2)).select("lang", phrases.phrase(1, 3).alias("gram")).distinct().collect()
+    assert ("en", "new york city") in found and (slots == 64 or found == [("en", "new york city")])
+    # What splits texts is read once: no filter computes it again.
+    assert not re.search(r"Filter.*split\(", places._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_scores_are_exact(spark, monkeypatch):
     big = 3_000_000_000_123
     counts = spark.createDataFrame([("en", "a", big + 7), ("en", "b", 3 * big + 1), ("en", "a b", big), ("en", "", 9 * big)], "lang string, gram string, f long")
