@@ -26,7 +26,7 @@ LANG = "und"
 def places(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
     """lang, w1, w2, ... to max_n: a row for each word with those that follow it in its piece; a piece's first row has its number of words, too.
 
-    Rows come from outer generators: inner ones have their arrays computed again for a filter.
+    Pieces without words go after the last generator: a filter on their arrays would be moved below the split and compute it again.
     """
     pieces = F.explode_outer(F.split(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), PIECES, -1))
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(LANG)).alias("lang"), pieces.alias("piece"))
