@@ -86,6 +86,22 @@ def test_another_vocabulary(spark):
     assert all(r.ids == own.encode_ordinary(texts[r.doc_id]) for r in rows)
 
 
+def test_a_piece_that_merges_dont_give(spark, tmp_path):
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % i for i, p in enumerate([*(bytes([b]) for b in range(256)), b"xyz", b"ab", b"xyza"])))
+    texts = ["xyz", "xyza", "xyzab xyz", "abxyz", "xyz" * 40]
+    rows = bytepairs.encode(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), str(path), public_tokenizers.PATTERN, 0).collect()
+    assert all(x.ids == library(path).encode_ordinary(texts[x.doc_id]) for x in rows) and {tuple(x.ids) for x in rows} >= {(256,), (258,)}
+
+
+def test_tables_stay_out_of_plans(spark):
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(scrambled(4))])
+    run = bytepairs.encode(docs, RANKS, public_tokenizers.PATTERN)._jdf.queryExecution()
+    # Their entries are not spelt out in a plan's text, which the driver builds again and again, nor copied as a column for each row.
+    assert len(run.executedPlan().toString()) < 1 << 20
+    assert "tables_" not in run.optimizedPlan().toString()
+
+
 def brute_runs(w):
     n, found = len(w), []
     for q in range(1, n // 4 + 1):
