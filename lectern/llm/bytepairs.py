@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lectern.functions.folders import checkpoint
 
 #: Words that are encoded once and looked up: the most that the table holds, and the most bytes of one.
-KNOWN, KNOWN_BYTES = 1 << 19, 64
+KNOWN, KNOWN_BYTES = 3 << 18, 64
 #: Words of more bytes merge all pairs of a rank in one round, shorter ones a pair in each.
 SHORT = 96
 #: The character of the id 0, and that of no piece, above all others.
